@@ -4,9 +4,10 @@
    the class representative (smallest doc_id) is compared further.
 2. A fixed-size table counts all shingles of all texts by hash bucket. It orders shingles rare first, so that a
    passage shared by a third of all documents comes last. The order changes the work only, never the result.
-3. Two sets of similarity t must share one of their first |x| - ceil(t |x|) + 1 shingles in that order. Every such
-   inverted list is led by its smallest document; documents sharing a list with the same leader form a group.
-   Every linked pair meets in at least one group, and each document travels to a group once, not once per shingle.
+3. With e(n) = n div 8 + 1, two linked sets share at least e(min(|x|, |y|)) of their first |x| - ceil(t |x|) + e(|x|)
+   shingles in that order. Every such inverted list is led by its smallest document; documents sharing a list with
+   the same leader form a group. A document with fewer than e(ceil(t |x|)) shingles in lists of two or more has no
+   link and travels nowhere; every linked pair meets in at least one group, and a document travels to a group once.
 4. Groups larger than a block are cut into blocks by set size, and pairs of blocks are compared.
 5. In a block pair, inverted lists over the whole sets are searched: for a query needing T common shingles, the L
    longest lists are put aside, the others are merged and counted, documents reaching T - L stay, and these are
@@ -30,6 +31,8 @@ from .components import components
 COUNTER_BITS = 22
 #: Shingles in one block of a group.
 BLOCK_SHINGLES = 1_000_000
+#: The prefix is longer by 1/EXTRA of the set, and as many shared shingles are asked for.
+EXTRA = 8
 #: Partial tables that one task adds up.
 FAN_IN = 64
 #: Factor of DivideSkip's number of long lists: L = T / (mu log2(longest) + 1).
@@ -129,7 +132,7 @@ def _counts(path: str) -> np.ndarray:
 
 
 def prefix_tokens(docs: DataFrame, counts: str, percent: int, width: int = 5) -> DataFrame:
-    """(token, doc_id): the rarest |x| - ceil(t |x|) + 1 shingles of each document."""
+    """(token, doc_id): the rarest |x| - ceil(t |x|) + e(|x|) shingles of each document."""
 
     def run(batches):
         for batch in batches:
@@ -139,7 +142,7 @@ def prefix_tokens(docs: DataFrame, counts: str, percent: int, width: int = 5) ->
                 for k, s in enumerate(sets):
                     if not len(s):
                         continue
-                    keep = len(s) - -(-percent * len(s) // 100) + 1
+                    keep = min(len(s), len(s) - -(-percent * len(s) // 100) + len(s) // EXTRA + 1)
                     order = np.lexsort((s, table[_bucket(s)]))[:keep]
                     out.append(s[order])
                     owner.append(np.full(keep, ids[a + k]))
@@ -267,16 +270,22 @@ def link_components(docs: DataFrame, percent: int = 75, width: int = 5, block: i
     lists = Window.partitionBy("token")
     led = (
         prefix_tokens(docs, counts, percent, width)
-        .withColumn("leader", F.min("doc_id").over(lists))
-        .where("leader <> doc_id")
-        .select("leader", "doc_id")
-        .distinct()
+        .select("doc_id", F.min("doc_id").over(lists).alias("leader"), F.count("*").over(lists).alias("documents"))
+        .where("documents > 1")
+        .groupBy("leader", "doc_id")
+        .agg(F.count("*").alias("shared"))
     )
     reps = classes.select(F.col("rep").alias("doc_id"), "d1", F.col("n_shingles").alias("n"))
-    led = written(led.join(reps.select("doc_id", "n", "d1"), "doc_id"), "led")
+    members = (
+        led.join(reps.hint("merge"), "doc_id")
+        .withColumn("shared", F.sum("shared").over(Window.partitionBy("doc_id")))
+        .where(f"shared >= (({percent} * n + 99) div 100) div {EXTRA} + 1")
+        .withColumn("members", F.count("*").over(Window.partitionBy("leader")))
+        .where("members > 1")
+        .select("leader", "doc_id", "n", "d1")
+    )
+    members = written(members, "members")
     release(spark)
-    leaders = led.select("leader").distinct().join(reps.select(F.col("doc_id").alias("leader"), "n", "d1"), "leader")
-    members = led.select("leader", "doc_id", "n", "d1").union(leaders.select("leader", F.col("leader").alias("doc_id"), "n", "d1"))
     members = members.withColumn("block", F.expr(f"coalesce(sum(n) over (partition by leader order by n, doc_id rows between unbounded preceding and 1 preceding), 0) div {block}")).withColumn(
         "blocks", F.max("block").over(Window.partitionBy("leader"))
     )
@@ -330,12 +339,12 @@ def link_components(docs: DataFrame, percent: int = 75, width: int = 5, block: i
     def _edges(edges):
         return pa.record_batch([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["u", "v"])
 
-    sets = docs.join(units, "doc_id").mapInArrow(expand, "leader long, i long, j long, block long, doc_id long, shingles binary")
+    sets = docs.join(units.hint("merge"), "doc_id").mapInArrow(expand, "leader long, i long, j long, block long, doc_id long, shingles binary")
     found = sets.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInArrow(search, "u long, v long")
     roots = components(found).withColumnRenamed("root", "component")
     release(spark)
-    classes = classes.join(roots, classes.rep == roots.node, "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    out = sig.join(classes, ["d1", "d2", "n_shingles"], "left")
+    classes = classes.join(roots.hint("merge"), classes.rep == roots.node, "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    out = sig.join(classes.hint("merge"), ["d1", "d2", "n_shingles"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
