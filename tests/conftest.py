@@ -1,6 +1,7 @@
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -35,7 +36,7 @@ def rows_of(frame) -> list[str]:
     columns = sorted(frame.columns)
 
     def plain(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or x != x:
             return None
         x = x.item() if hasattr(x, "item") else x
         return int(x) if isinstance(x, float) and x.is_integer() else x
