@@ -42,7 +42,7 @@ def _letters() -> np.ndarray:
 def _grams(texts: list[str]):
     """Yield (rows a, b, ids, bound) per piece of texts: hashed n-grams of text k are ids[bound[k - a]:bound[k - a + 1]]."""
     lengths = np.r_[0, np.cumsum([len(t) + 2 for t in texts])]
-    for a, b in slices(lengths, 1 << 20):
+    for a, b in slices(lengths, 1 << 18):
         # lower() can lengthen a text, so offsets are taken after it.
         low = [" " + t.lower() + " " for t in texts[a:b]]
         bound = np.r_[0, np.cumsum([len(t) for t in low])]
