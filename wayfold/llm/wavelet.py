@@ -24,9 +24,11 @@ MAGIC = b"WVMATRX1"
 #: Ids of one shard; a document is never cut, so a longer one is a shard of its own.
 SHARD_TOKENS = 1 << 20
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 1_200_000
+REMEMBERED = 600_000
 END_ID = 1
 _BLOCK = 64  # bytes of a plane per entry of its rank directory
+#: Marks that can end a word; ASCII only.
+_MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 _ONES = np.array([bin(x).count("1") for x in range(256)], np.uint16)
 
 
@@ -48,9 +50,10 @@ def build(ids: np.ndarray, doc_ids: list, lengths: np.ndarray) -> bytes:
     now = ids.astype(np.uint16 if levels <= 16 else np.uint32)
     zeros, planes = [], []
     for k in range(levels - 1, -1, -1):
-        bit = ((now >> now.dtype.type(k)) & now.dtype.type(1)).astype(bool)
+        bit = (now & now.dtype.type(1 << k)) != 0
         planes.append(np.packbits(bit, bitorder="little"))
-        now = np.concatenate([now[~bit], now[bit]])
+        # Taking by position is several times faster than by mask.
+        now = np.concatenate([now.take(np.flatnonzero(~bit)), now.take(np.flatnonzero(bit))])
         zeros.append(len(bit) - int(np.count_nonzero(bit)))
     known = np.array([d is not None for d in doc_ids], np.uint8)
     names = np.array([d if d is not None else 0 for d in doc_ids], np.int64)
@@ -159,8 +162,8 @@ class WaveletMatrix:
             bit = np.unpackbits(self._plane(k)[0], count=self.n, bitorder="little").view(bool)
             above = np.empty(self.n, kind)
             zeros = int(self.zeros[k])
-            above[~bit] = now[:zeros]
-            above[bit] = now[zeros:] | kind(1 << (self.levels - 1 - k))
+            above[np.flatnonzero(~bit)] = now[:zeros]
+            above[np.flatnonzero(bit)] = now[zeros:] | kind(1 << (self.levels - 1 - k))
             now = above
         return now
 
@@ -188,6 +191,7 @@ class WordEncoder:
             self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -204,16 +208,20 @@ class WordEncoder:
                 young[w] = old[w]
             elif w.isalpha():
                 plain.add(w)
-            elif w[-1] in ".," and w[:-1].isalpha():
-                tails.append(w)
-                if w[:-1] not in young:
-                    plain.add(w[:-1])
+            elif (core := w.rstrip(_MARKS)).isalpha():
+                tails.append((w, core, w[len(core) :]))
+                if core not in young:
+                    plain.add(core)
             else:
                 odd.append(w)
         self._learn_plain(list(plain))
         young.update(zip(odd, self._encode(odd), strict=True))
-        marks = dict(zip(".,", self._encode([".", ","]), strict=True))
-        young.update((w, young[w[:-1]] + marks[w[-1]]) for w in tails)
+        # Letters and the ASCII marks after them are pieces of their own, and no mark composes with a letter.
+        marks = sorted({m for _, _, m in tails} - self.marks.keys())
+        self.marks.update(zip(marks, self._encode(marks), strict=True))
+        young.update((w, young[core] + self.marks[m]) for w, core, m in tails)
+        if len(self.marks) > 10_000:
+            self.marks = {}
         get = young.__getitem__
         return [b"".join(map(get, w)) if w is not None else self._encode([t])[0] for w, t in zip(words, texts, strict=True)]
 
@@ -230,7 +238,7 @@ class WordEncoder:
         """Words of letters only are one piece each: encode many as one text and cut at the ids that end a word."""
         for a in range(0, len(words), 20_000):
             some = words[a : a + 20_000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, self.kind)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
             ends = np.flatnonzero(self.ends[ids]) + 1 if self.ends is not None else ()
             if len(ends) == len(some):
                 data, size, last = ids.tobytes(), ids.itemsize, 0
