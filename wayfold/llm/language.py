@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import slices
+from .common import lean, slices
 
 #: Documents of a language that the classifiers are fitted on, about; chosen by a hash of the text.
 FIT_DOCUMENTS = 2_000
@@ -154,7 +154,7 @@ def fit(rows: DataFrame, most: int = FIT_DOCUMENTS) -> Model | None:
         yield pa.record_batch([pa.array([languages[i] for i in k], pa.string()), pa.array([total[i].tobytes() for i in k], pa.binary())], ["lang", "n"])
 
     counts = np.zeros((len(languages), 1 << SPACE_BITS), np.int64)
-    for r in sample.mapInArrow(count, "lang string, n binary").toLocalIterator():
+    for r in sample.mapInArrow(lean(count), "lang string, n binary").toLocalIterator():
         counts[place[r.lang]] += np.frombuffer(r.n, np.int64)
     model = Model(languages, counts)
 
@@ -168,7 +168,7 @@ def fit(rows: DataFrame, most: int = FIT_DOCUMENTS) -> Model | None:
         yield pa.record_batch([pa.array([right.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], ["right", "seen"])
 
     right, seen = np.zeros(model.code.shape, np.int64), np.zeros(len(languages), np.int64)
-    for r in sample.mapInArrow(hits, "right binary, seen binary").toLocalIterator():
+    for r in sample.mapInArrow(lean(hits), "right binary, seen binary").toLocalIterator():
         right += np.frombuffer(r.right, np.int64).reshape(right.shape)
         seen += np.frombuffer(r.seen, np.int64)
     model.fit_trust(right, seen)
@@ -197,7 +197,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             arrays = [*batch.columns, pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0), pa.float64()), pa.array(ambiguous & known)]
             yield pa.RecordBatch.from_arrays(arrays, [*names, "lang_pred", "score", "ambiguous"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def held_out(doc_id=None):

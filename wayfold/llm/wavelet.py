@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, open_fs, publish, release, written
+from .common import lean, new_folder, open_fs, publish, release, written
 
 MAGIC = b"WVMATRX1"
 #: Ids of one shard; a document is never cut, so a longer one is a shard of its own.
@@ -298,7 +298,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_to
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    files = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "part long, shard long, path string, documents long, tokens long")
+    files = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(lean(run), "part long, shard long, path string, documents long, tokens long")
     return written(files, "token-files"), folder
 
 
@@ -321,7 +321,7 @@ def read_shards(files: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(shard.doc_ids, pa.int64()), pa.array(shard.starts[:-1] + base, pa.int64()), pa.array(shard.lengths, pa.int64()), pa.array(crc, pa.int64()), pa.array([path] * len(crc), pa.string())], ["doc_id", "start", "n_tokens", "ids_crc32", "path"])
 
     index = spark.createDataFrame(rows, "path string, base long").repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism)))
-    return index.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, path string")
+    return index.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long, path string")
 
 
 def token_output(docs: DataFrame, tokenizer: str | None = None, **options) -> DataFrame:
