@@ -9,16 +9,16 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, new_folder, open_fs, publish, release, written
+from .common import lean, new_folder, open_fs, publish, release, slices, written
 
 MAGIC = b"WVMATRX1"
 #: Ids of one shard; a document is never cut, so a longer one is a shard of its own.
@@ -38,6 +38,11 @@ def _pack(x: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(x)
 
 
+def _listed(x: pa.Array) -> list:
+    """Values of an array without nulls; much faster than to_pylist."""
+    return x.to_numpy(zero_copy_only=False).tolist()
+
+
 def _unpack(x: bytes) -> bytes:
     import zstandard
 
@@ -173,7 +178,7 @@ class WordEncoder:
 
     The ids of a text are then those of its white-space separated words in order, so each word is encoded once and
     remembered (two generations of at most REMEMBERED / 2 words). Texts with the separators U+001C to U+001F, on which
-    Python and the tokenizer disagree, are encoded as they are. `local=False` encodes every text whole.
+    Arrow and the tokenizer disagree, are encoded as they are. `local=False` encodes every text whole.
     """
 
     def __init__(self, path: str, local: bool = True):
@@ -196,43 +201,67 @@ class WordEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        words = [self._split(t) for t in texts]
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a string array; null counts as empty."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        if not self.local:
+            return [np.frombuffer(x, self.kind) for x in self._encode(_listed(texts))]
+        whole = pc.match_substring_regex(texts, "[\x1c-\x1f]")
+        apart = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        lists = pc.utf8_split_whitespace(self._lowered(pc.if_else(whole, "", texts)))
+        words = lists.flatten()
+        # A text of blanks only, or none, splits into empty strings, which have no ids.
+        coded = words.dictionary_encode()
+        known = self._words(coded.dictionary)
+        ids = np.frombuffer(b"".join(known), self.kind)
+        size = np.fromiter(map(len, known), np.int64, len(known)) // self.kind().itemsize
+        first = np.r_[0, np.cumsum(size)]
+        code = coded.indices.to_numpy()
+        sizes = size[code]
+        end = np.cumsum(sizes)
+        ids = ids[np.repeat(first[code] - end + sizes, sizes) + np.arange(int(sizes.sum()))]
+        at = np.r_[0, end][np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]]
+        out = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        for k, x in zip(apart.tolist(), self._encode(_listed(texts.take(pa.array(apart)))), strict=True):
+            out[k] = np.frombuffer(x, self.kind)
+        return out
+
+    def _lowered(self, texts: pa.Array) -> pa.Array:
+        """A-Z lowered in texts within U+0000 to U+00FF, where no mark composes with a letter; others as they are."""
+        if not self.lowers:
+            return texts
+        return pc.if_else(pc.match_substring_regex(texts, "[^\x00-\u00ff]"), texts, pc.ascii_lower(texts))
+
+    def _words(self, words: pa.Array) -> list[bytes]:
+        """The ids of each of some distinct words. ASCII marks after letters are a piece of their own."""
         if len(self.young) > REMEMBERED // 2:
             self.old, self.young = self.young, {}
-        young, old, tails, plain, odd = self.young, self.old, [], set(), []
-        for w in set().union(*(w for w in words if w)):
-            if w in young:
-                continue
-            if w in old:
-                young[w] = old[w]
-            elif w.isalpha():
-                plain.add(w)
-            elif (core := w.rstrip(_MARKS)).isalpha():
-                tails.append((w, core, w[len(core) :]))
-                if core not in young:
-                    plain.add(core)
-            else:
-                odd.append(w)
-        self._learn_plain(list(plain))
-        young.update(zip(odd, self._encode(odd), strict=True))
-        # Letters and the ASCII marks after them are pieces of their own, and no mark composes with a letter.
-        marks = sorted({m for _, _, m in tails} - self.marks.keys())
-        self.marks.update(zip(marks, self._encode(marks), strict=True))
-        young.update((w, young[core] + self.marks[m]) for w, core, m in tails)
         if len(self.marks) > 10_000:
             self.marks = {}
-        get = young.__getitem__
-        return [b"".join(map(get, w)) if w is not None else self._encode([t])[0] for w, t in zip(words, texts, strict=True)]
-
-    def _split(self, text: str) -> list[str] | None:
-        if not self.local or re.search("[\x1c-\x1f]", text):
-            return None
-        try:
-            text.encode("latin-1")  # there Python and the tokenizer lower alike
-        except UnicodeEncodeError:
-            return text.split()
-        return text.lower().split() if self.lowers else text.split()
+        core = pc.ascii_rtrim(words, characters=_MARKS)
+        letters = pc.utf8_is_alpha(core)
+        coded = pc.if_else(letters, core, words).dictionary_encode()
+        keys, young, old, plain, odd = _listed(coded.dictionary), self.young, self.old, [], []
+        for w in keys:
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                elif w.isalpha():
+                    plain.append(w)
+                else:
+                    odd.append(w)
+        self._learn_plain(plain)
+        young.update(zip(odd, self._encode(odd), strict=True))
+        found = [young[w] for w in keys]
+        out = [found[c] for c in _listed(coded.indices)]
+        cut = pc.and_(letters, pc.not_equal(pc.binary_length(core), pc.binary_length(words)))
+        at = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
+        tails = [w[n:] for w, n in zip(_listed(words.take(pa.array(at))), _listed(pc.utf8_length(core.take(pa.array(at)))), strict=True)]
+        new = sorted(set(tails) - self.marks.keys())
+        self.marks.update(zip(new, self._encode(new), strict=True))
+        for k, tail in zip(at.tolist(), tails, strict=True):
+            out[k] += self.marks[tail]
+        return out
 
     def _learn_plain(self, words: list[str]) -> None:
         """Words of letters only are one piece each: encode many as one text and cut at the ids that end a word."""
@@ -269,23 +298,19 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_to
         encoder = _ENCODERS.setdefault((tokenizer, local), None) or WordEncoder(tokenizer, local)
         _ENCODERS[tokenizer, local] = encoder
         ids, lengths, held, total = [], [], [], 0
-        end = np.array([end_id], encoder.kind).tobytes()
+        end = np.array([end_id], encoder.kind)
 
         def flush():
             path = f"{folder}/part-{part:06d}-{shard:06d}.wvm"
-            publish(path, build(np.frombuffer(b"".join(held), encoder.kind), ids, np.array(lengths)))
+            publish(path, build(np.concatenate(held), ids, np.array(lengths)))
             return pa.record_batch([[part], [shard], [path], [len(ids)], [total]], names=["part", "shard", "path", "documents", "tokens"])
 
         for batch in batches:
-            names, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            at = 0
-            while at < len(texts):
-                size, stop = 0, at
-                while stop < len(texts) and (stop == at or size < 4 << 20):
-                    size += len(texts[stop] or "")
-                    stop += 1
-                for d, x in zip(names[at:stop], encoder([t or "" for t in texts[at:stop]]), strict=True):
-                    k = len(x) // encoder.kind().itemsize + 1
+            names, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            ends = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)]
+            for at, stop in slices(ends, 4 << 20):
+                for d, x in zip(names[at:stop], encoder(texts.slice(at, stop - at)), strict=True):
+                    k = len(x) + 1
                     if total and total + k > shard_tokens:
                         yield flush()
                         ids, lengths, held, total, shard = [], [], [], 0, shard + 1
@@ -293,7 +318,6 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_to
                     lengths.append(k)
                     held += [x, end]
                     total += k
-                at = stop
         if ids:
             yield flush()
 
