@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -359,6 +360,33 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontaminate.decontaminate(d.limit(0), bench).count() == 0 and decontaminate.decontaminate(d, bench.limit(0)).count() == 8
 
 
+def test_seeds_hit_every_placement_of_differing_words():
+    n, k = decontaminate.WINDOW, decontaminate.WINDOW - decontaminate.MATCHES
+    picks = [[o + j for j, c in enumerate(m) if c == "1"] for m in decontaminate.SEEDS for o in range(n - len(m) + 1)]
+    assert all(any(not set(p) & set(gone) for p in picks) for gone in itertools.combinations(range(n), k))
+
+
+def test_decontamination_against_all_diagonals(spark):
+    rng = random.Random(88)
+    items = [prose(rng.choice([13, 14, 15, 20, 31]), rng).split() for _ in range(40)]
+    docs = []
+    for k in range(400):
+        v = items[k % 40]
+        a = rng.randint(0, len(v) - 10) if k % 3 else 0
+        part = [f"other{i}" if rng.random() < 0.2 else w for i, w in enumerate(v[a:])]
+        docs.append((prose(rng.randint(0, 5), rng).split() + part + prose(rng.randint(0, 5), rng).split()))
+    want = set()
+    for d, w in enumerate(docs):
+        for b, v in enumerate(items):
+            for shift in range(-len(v), len(w) + 1):
+                same = [0 <= i + shift < len(w) and w[i + shift] == x for i, x in enumerate(v)]
+                if max(sum(same[i : i + 13]) for i in range(len(v) - 12)) >= 10:
+                    want.add((d, b))
+    frames = [spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(rows)], f"{key} long, text string") for key, rows in (("doc_id", docs), ("item_id", items))]
+    got = [{tuple(r)[:2] for r in decontaminate.contaminated_pairs(*frames, **o).collect()} for o in ({}, {"masks": decontaminate.MASKS})]
+    assert got[0] == want and got[1] < want
+
+
 # 9
 
 
