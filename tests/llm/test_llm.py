@@ -5,10 +5,12 @@ import hashlib
 import itertools
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL, rows_of
 from pyspark.sql import functions as F
@@ -122,6 +124,16 @@ def test_tokens_equal_whole_text_encoding(spark):
     assert wavelet.token_output(edge_docs(spark).limit(0)).count() == 0
 
 
+def test_marks_after_letters_and_added_tokens_equal_whole_text_encoding():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    unsafe = [c for c in map(chr, range(0xD800)) if c.isalpha() and not unicodedata.normalize("NFC", c).lower().isalpha()]
+    texts = ["CUMHURİYETİ.", "A <|ENDOFTEXT|> B.", "x<|StartOfText|>.", "y<|endoftext|>", "<| A. |>", None, *[f"x{c}. {c}A, y{c}!" for c in [*unsafe, *"áÅßŉǰΐẞ漢ﬁ\ufb1d\ufb1f\ufb4e"]]]
+    got, want = [[x.tolist() for x in wavelet.WordEncoder(path, local)(pa.array(texts))] for local in (True, False)]
+    assert got == want
+
+
 # 3
 
 

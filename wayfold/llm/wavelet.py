@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 
@@ -29,6 +30,8 @@ END_ID = 1
 _BLOCK = 64  # bytes of a plane per entry of its rank directory
 #: Marks that can end a word; ASCII only.
 _MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
+#: Letters whose form after NFC and lower-casing ends in a combining mark, which is one piece with marks that follow.
+_UNSAFE = "[\u0130\u0958-\u095f\u09dc-\u09dd\u09df\u0a33\u0a36\u0a59-\u0a5b\u0a5e\u0b5c-\u0b5d\u0f43\u0f4d\u0f52\u0f57\u0f5c\u0f69\ufb1d\ufb1f\ufb2a-\ufb36\ufb38-\ufb3c\ufb3e\ufb40-\ufb41\ufb43-\ufb44\ufb46-\ufb4e]"
 _ONES = np.array([bin(x).count("1") for x in range(256)], np.uint16)
 
 
@@ -178,7 +181,8 @@ class WordEncoder:
 
     The ids of a text are then those of its white-space separated words in order, so each word is encoded once and
     remembered (two generations of at most REMEMBERED / 2 words). Texts with the separators U+001C to U+001F, on which
-    Arrow and the tokenizer disagree, are encoded as they are. `local=False` encodes every text whole.
+    Arrow and the tokenizer disagree, or with an added token in any case, which is found before lower-casing, are
+    encoded as they are. `local=False` encodes every text whole.
     """
 
     def __init__(self, path: str, local: bool = True):
@@ -188,6 +192,8 @@ class WordEncoder:
         self.tokenizer, self.local = Tokenizer.from_file(path), local
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         model = json.loads(self.tokenizer.to_str())
+        added = "|".join(re.escape(t["content"]) for t in model["added_tokens"])
+        self.apart = "[\x1c-\x1f]" + (f"|(?i:{added})" if added else "")
         self.lowers = "Lowercase" in json.dumps(model["normalizer"])
         suffix = model["model"].get("end_of_word_suffix")
         self.ends = None
@@ -206,7 +212,7 @@ class WordEncoder:
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         if not self.local:
             return [np.frombuffer(x, self.kind) for x in self._encode(_listed(texts))]
-        whole = pc.match_substring_regex(texts, "[\x1c-\x1f]")
+        whole = pc.match_substring_regex(texts, self.apart)
         apart = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
         lists = pc.utf8_split_whitespace(self._lowered(pc.if_else(whole, "", texts)))
         words = lists.flatten()
@@ -233,13 +239,13 @@ class WordEncoder:
         return pc.if_else(pc.match_substring_regex(texts, "[^\x00-\u00ff]"), texts, pc.ascii_lower(texts))
 
     def _words(self, words: pa.Array) -> list[bytes]:
-        """The ids of each of some distinct words. ASCII marks after letters are a piece of their own."""
+        """The ids of each of some distinct words. ASCII marks after letters are a piece of their own, save after _UNSAFE ones."""
         if len(self.young) > REMEMBERED // 2:
             self.old, self.young = self.young, {}
         if len(self.marks) > 10_000:
             self.marks = {}
         core = pc.ascii_rtrim(words, characters=_MARKS)
-        letters = pc.utf8_is_alpha(core)
+        letters = pc.and_not(pc.utf8_is_alpha(core), pc.match_substring_regex(core, _UNSAFE))
         coded = pc.if_else(letters, core, words).dictionary_encode()
         keys, young, old, plain, odd = _listed(coded.dictionary), self.young, self.old, [], []
         for w in keys:
