@@ -488,6 +488,14 @@ def test_line_run_edges(spark):
     assert line_runs.remove_repeated_runs(d.limit(0)).count() == 0
 
 
+def test_later_copies_of_long_lines_go(spark):
+    long, short = " ".join(WORDS[:51]), " ".join(WORDS[:50])
+    rows = [(1, long), (2, f"a\n{long}\nb"), (3, short), (4, f"c\n{short}"), (5, f"{long}\n\n{long}"), (6, f"a\n{long}")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in line_runs.remove_repeated_runs(d, long_words=50).collect()}
+    assert got == {1: (long, 1, 0, 0), 2: ("a\nb", 3, 1, 1), 3: (short, 1, 0, 0), 4: (f"c\n{short}", 2, 0, 0), 5: ("", 2, 2, 1), 6: ("", 2, 2, 1)}
+
+
 # Pipeline
 
 

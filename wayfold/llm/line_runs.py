@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Fewest lines of a run.
 MIN_LINES = 2
+#: op10_line_runs_long_lines also deletes later copies of single lines of more words.
+LONG_WORDS = 50
 _NULL_ID = -(1 << 63)
 
 
@@ -37,9 +39,11 @@ def _doubled(names: Column, step: int) -> Column:
     return F.transform(starts, pair)
 
 
-def remove_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def remove_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """(doc_id, text, n_lines, n_removed, n_runs): texts without later copies of runs of min_lines lines or more.
 
+    With long_words, later copies of single lines of more than so many words (between blanks) go as well.
+
     Lines end at a line feed; blank lines belong to no run and stay. The earliest copy is that of the smallest doc_id,
     then the earliest line; a null id comes first. A null text stays null with 0 lines. Rows that repeat both id and
     text are one document; the same id with another text is a document of its own. n_runs counts maximal deleted runs of
@@ -49,13 +53,20 @@ def remove_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFra
     base = base.withColumn("k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))).withColumn("t", F.xxhash64("text"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")
     ids = F.transform(lines, lambda x: F.struct(F.xxhash64(F.lit(1), x).alias("a"), F.xxhash64(F.lit(2), x).alias("b")))
-    runs = base.where("text is not null").select("k", "t", ids.alias("ids")).select("k", "t", F.posexplode(_names(F.col("ids"), min_lines)).alias("i", "name"))
+    if long_words is None:
+        runs = base.where("text is not null").select("k", "t", ids.alias("ids")).select("k", "t", F.posexplode(_names(F.col("ids"), min_lines)).alias("i", "name"), F.lit(min_lines).alias("n"))
+    else:
+        long = F.transform(lines, lambda x: F.size(F.regexp_extract_all(x, F.lit("[^ ]+"), F.lit(0))) > long_words)
+        zipped = base.where("text is not null").select("k", "t", ids.alias("ids"), long.alias("long")).withColumn("names", _names(F.col("ids"), min_lines))
+        zipped = zipped.select("k", "t", F.posexplode(F.arrays_zip("names", "ids", "long")).alias("i", "x"))
+        of = [F.struct(F.col("x.names").alias("name"), F.lit(min_lines).alias("n")), F.struct(F.when(F.col("x.long"), F.col("x.ids")).alias("name"), F.lit(1).alias("n"))]
+        runs = zipped.select("k", "t", "i", F.inline(F.array(*of))).where("name is not null")
     # Aggregation before the shuffle; a very frequent run leaves one row per task.
-    first = runs.groupBy("name").agg(F.min(F.struct("k", "t", "i")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = runs.join(first.hint("merge"), "name").where(F.struct("k", "t", "i") > F.col("first")).select("k", "t", "i").distinct()
-    later = later.groupBy("k", "t").agg(F.array_sort(F.collect_list("i")).alias("starts"))
-    both = base.join(later.hint("merge"), ["k", "t"], "left").withColumn("starts", F.coalesce("starts", F.array().cast("array<int>")))
-    gone = F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + min_lines - 1))))
+    first = runs.groupBy("name").agg(F.min(F.struct("k", "t", "i")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    later = runs.join(first.hint("merge"), "name").where(F.struct("k", "t", "i") > F.col("first")).select("k", "t", "i", "n").distinct()
+    later = later.groupBy("k", "t").agg(F.array_sort(F.collect_list(F.struct("i", "n"))).alias("starts"))
+    both = base.join(later.hint("merge"), ["k", "t"], "left").withColumn("starts", F.coalesce("starts", F.array().cast("array<struct<i: int, n: int>>")))
+    gone = F.array_distinct(F.flatten(F.transform("starts", lambda x: F.sequence(x["i"], x["i"] + x["n"] - 1))))
     lead = F.filter("gone", lambda i: ~F.array_contains("gone", i - 1))
     both = both.withColumn("gone", gone).withColumn("lines", F.split("text", "\n", -1))
     both = both.withColumn("n_lines", F.coalesce(F.size(F.filter("lines", lambda x: F.trim(x) != "")), F.lit(0)).cast("long"))
@@ -71,6 +82,11 @@ def op10_line_runs(spark, sf_dir: str) -> DataFrame:
     return remove_repeated_runs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op10_line_runs_long_lines(spark, sf_dir: str) -> DataFrame:
+    """All of documents, runs of two lines or more and single lines of more than LONG_WORDS words."""
+    return remove_repeated_runs(spark.read.parquet(f"{sf_dir}/documents.parquet"), long_words=LONG_WORDS)
+
+
 SQL = """
 WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents),
 n AS (SELECT doc_id, p, line, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS i FROM l WHERE trim(line, ' ') <> ''),
@@ -84,3 +100,8 @@ c AS (SELECT doc_id, count(*) AS n_lines FROM n GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs
 FROM documents d LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN y USING (doc_id)
 """
+
+_PAIRS = "x AS (SELECT DISTINCT doc_id, i + o AS i FROM f, (SELECT unnest([0, 1]) AS o) WHERE r > 1)"
+_LONG = f"""o AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS r FROM n WHERE len(regexp_extract_all(line, '[^ ]+')) > {LONG_WORDS}),
+x AS (SELECT doc_id, i + o AS i FROM f, (SELECT unnest([0, 1]) AS o) WHERE r > 1 UNION SELECT doc_id, i FROM o WHERE r > 1)"""
+SQL_LONG = SQL.replace(_PAIRS, _LONG)

@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_line_runs": line_runs.op10_line_runs,
+    "op10_line_runs_long_lines": line_runs.op10_line_runs_long_lines,
 }
 
 #: Operators 1, 2, 7 and 9 are not in SQL: their tests compare with brute force, round trips or held-out rows.
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op6_source_mix": mixing.SQL,
     "op8_decontamination": decontaminate.SQL,
     "op10_line_runs": line_runs.SQL,
+    "op10_line_runs_long_lines": line_runs.SQL_LONG,
 }
