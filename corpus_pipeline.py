@@ -25,10 +25,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by 5-word shingles at 0.75 or more the smallest doc_id stays, once. Rows of null id stay."""
-    found = link_components(docs)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null")).select(*docs.columns)
+    """Of each group linked by 5-word shingles at 0.75 or more the row of the smallest doc_id stays, once.
+
+    Rows that share a doc_id but not the text are documents of their own. Rows of null id stay.
+    """
+    known = docs.where("doc_id is not null").withColumn("_key", F.col("doc_id").cast("long"))
+    hashed = known.select("doc_id", F.xxhash64("text").alias("t"))
+    repeated = hashed.groupBy("doc_id").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select(F.col("doc_id").alias("_id"))
+    if repeated.isEmpty():
+        found = link_components(known)
+        keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    else:
+        known = known.join(repeated.hint("merge"), F.col("doc_id") == F.col("_id"), "left").withColumn("_key", F.when(F.col("_id").isNull(), F.col("_key")).otherwise(F.xxhash64("doc_id", "text"))).drop("_id")
+        found = link_components(known.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id").distinct()
+        of = known.select("_key", "doc_id").distinct().join(found.hint("merge"), "_key")
+        keep = of.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("x")).select("x._key")
+    return known.join(keep.hint("merge"), "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns).union(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -531,3 +531,16 @@ def test_pipeline_edges(spark):
         for _, stage in cp.STAGES:
             d = stage(spark, d, bench).cache()
             d.count()
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(77)
+    a, b, c = (prose(60, rng) for _ in range(3))
+    near = " ".join([*b.split()[:-1], "changed"])
+    rows = [(1, near), (2, a), (2, b), (2, a), (3, c), (4, c), (5, a + " end"), (None, a)]
+    d = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], DOCS)
+    got = cp.near_duplicates(spark, d, SMALL)
+    assert got.columns == d.columns
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(0, a), (1, near), (2, a), (3, c)])
