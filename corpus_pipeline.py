@@ -18,7 +18,7 @@ from wayfold.llm.wavelet import token_output
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language (null text or no letter) go; an ambiguous language is no reason to reject."""
+    """Documents in no language (null text or no letter) go, a filter by letters only: score and ambiguity reject nothing."""
     names = docs.columns
     model = fit(docs.where(~held_out()))
     return identify(docs, model).where(F.col("lang_pred") != UNKNOWN).select(*names)
