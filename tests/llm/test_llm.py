@@ -12,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from conftest import SMALL, rows_of
 from pyspark.sql import functions as F
 
@@ -113,7 +114,9 @@ def test_tokens_equal_whole_text_encoding(spark):
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for docs in (edge_docs(spark), spark.read.parquet(f"{SMALL}/documents.parquet")):
-        rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or "") for r in docs.collect()))
+        # Ids ascend, null first; rows of one id are in the order of Spark's xxhash64 of the text (its seed for null).
+        hashed = lambda x: 42 if x is None else int(np.uint64(xxhash.xxh64(x.encode(), seed=42).intdigest()).view(np.int64))
+        rows = sorted(((r.doc_id is not None, r.doc_id or 0, hashed(r.text), r.text or "") for r in docs.collect()))
         want, start = [], 0
         for known, d, _, x in rows:
             ids = np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4")
@@ -134,6 +137,31 @@ def test_marks_after_letters_and_added_tokens_equal_whole_text_encoding():
     assert got == want
 
 
+def test_random_unicode_equals_whole_text_encoding(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(wavelet, "REMEMBERED", 50)
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(21)
+    blanks = [c for c in map(chr, range(0x10000)) if c.isspace() or unicodedata.category(c) in ("Zs", "Zl", "Zp", "Cc", "Cf")]
+    marks = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~'0123456789\u0301\u0307\u0130\u0131\u00df\u02b0"
+    pools = ["abcXYZ", marks, blanks, [chr(c) for c in range(0xA0, 0x250)], [chr(c) for c in range(0x300, 0x1200)], [chr(c) for c in range(0x1E00, 0x2100)], [chr(c) for c in range(0xFB00, 0xFF60)], [chr(c) for c in range(0x10300, 0x10450)]]
+    texts = ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    encoder, whole = wavelet.WordEncoder(path), wavelet.WordEncoder(path, False)
+    for a in range(0, len(texts), 500):
+        some = pa.array(texts[a : a + 500])
+        assert [x.tolist() for x in encoder(some)] == [x.tolist() for x in whole(some)]
+
+
+def test_file_starts_are_sums_over_parts_and_blocks(spark):
+    rows = [(p, s, f"{p}-{s}", 1, 10 * p + s + 1) for p in (0, 1, 999, 1000, 1001, 2500) for s in range(3)]
+    got = {r.path: r.base for r in wavelet._bases(spark.createDataFrame(rows, "part long, shard long, path string, documents long, tokens long")).collect()}
+    base = 0
+    for _, _, path, _, n in rows:
+        assert got[path] == base
+        base += n
+    assert len(got) == len(rows)
+
+
 # 3
 
 

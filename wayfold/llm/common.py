@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import ctypes
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,9 +16,15 @@ CHUNK_BYTES = 2 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session in one process (tests) gets a folder of its own; on a cluster that is an error, as
+    other machines could not read it.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="wayfold-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root if "://" in root or root.startswith("file:") else "file://" + os.path.abspath(root)
@@ -29,42 +35,25 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/wayfold/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps; it acts only when the driver collects garbage."""
-    import gc
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
 
-
-def lean(kernel):
-    """A mapInArrow kernel whose worker returns freed memory when its partition ends; idle workers live on beside other stages."""
-
-    def run(batches):
-        try:
-            yield from kernel(batches)
-        finally:
-            give_back()
-
-    return run
+def write_table(df: DataFrame, path: str) -> None:
+    """Write df; the shuffle files of this one execution go when it ends, as the table takes their place."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
-def give_back() -> None:
-    """Drop the tables of powers, and hand free pages of Arrow's pool and (glibc) of the heap to the system."""
-    _POWERS.clear()
-    _POWERS["n"] = 0
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
+    path = new_folder(df.sparkSession, name)
+    write_table(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def open_fs(uri: str):

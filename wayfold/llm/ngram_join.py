@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_view, lean, new_folder, open_fs, publish, release, shingle_sets, slices, text_column, written
+from .common import byte_view, new_folder, open_fs, publish, shingle_sets, slices, text_column, written
 from .components import components
 
 #: Counters of the shingle order: a fixed 16 MB table whatever the input.
@@ -58,7 +58,7 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
                 d2 = np.array([np.bitwise_xor.reduce(s * (s >> np.uint64(7) | np.uint64(1))) for s in sets], np.uint64)
                 yield pa.record_batch([ids.slice(a, b - a), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], ["doc_id", "n_shingles", "d1", "d2"])
 
-    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_shingles long, d1 long, d2 long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -106,10 +106,10 @@ def shingle_counts(docs: DataFrame, width: int = 5) -> str:
 
     schema = "slice int, task int, counts binary"
     n = docs.rdd.getNumPartitions()
-    partial = docs.select("text").mapInArrow(lean(count), schema)
+    partial = docs.select("text").mapInArrow(count, schema)
     while True:
         n = ceil(n / FAN_IN)
-        partial = partial.withColumn("task", F.expr(f"cast(task div {FAN_IN} as int)")).repartition("slice", "task").sortWithinPartitions("slice", "task").mapInArrow(lean(add), schema)
+        partial = partial.withColumn("task", F.expr(f"cast(task div {FAN_IN} as int)")).repartition("slice", "task").sortWithinPartitions("slice", "task").mapInArrow(add, schema)
         if n <= 1:
             break
     rows = {r.slice: np.frombuffer(zstandard.decompress(bytes(r.counts)), np.int64) for r in partial.collect()}  # 16 rows, 32 MB at most
@@ -149,7 +149,7 @@ def prefix_tokens(docs: DataFrame, counts: str, percent: int, width: int = 5) ->
                 if out:
                     yield pa.record_batch([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(owner).astype(np.int64))], ["token", "doc_id"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(lean(run), "token long, doc_id long")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "token long, doc_id long")
 
 
 class Forest:
@@ -266,7 +266,6 @@ def link_components(docs: DataFrame, percent: int = 75, width: int = 5, block: i
     classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     classes = written(classes, "classes")
     counts = shingle_counts(docs, width)
-    release(spark)
     lists = Window.partitionBy("token")
     led = (
         prefix_tokens(docs, counts, percent, width)
@@ -285,7 +284,6 @@ def link_components(docs: DataFrame, percent: int = 75, width: int = 5, block: i
         .select("leader", "doc_id", "n", "d1")
     )
     members = written(members, "members")
-    release(spark)
     members = members.withColumn("block", F.expr(f"coalesce(sum(n) over (partition by leader order by n, doc_id rows between unbounded preceding and 1 preceding), 0) div {block}")).withColumn(
         "blocks", F.max("block").over(Window.partitionBy("leader"))
     )
@@ -339,10 +337,9 @@ def link_components(docs: DataFrame, percent: int = 75, width: int = 5, block: i
     def _edges(edges):
         return pa.record_batch([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["u", "v"])
 
-    sets = docs.join(units.hint("merge"), "doc_id").mapInArrow(lean(expand), "leader long, i long, j long, block long, doc_id long, shingles binary")
-    found = sets.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInArrow(lean(search), "u long, v long")
+    sets = docs.join(units.hint("merge"), "doc_id").mapInArrow(expand, "leader long, i long, j long, block long, doc_id long, shingles binary")
+    found = sets.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInArrow(search, "u long, v long")
     roots = components(found).withColumnRenamed("root", "component")
-    release(spark)
     classes = classes.join(roots.hint("merge"), classes.rep == roots.node, "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = sig.join(classes.hint("merge"), ["d1", "d2", "n_shingles"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

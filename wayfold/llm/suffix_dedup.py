@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, byte_view, mix, release, slices, text_column, written
+from .common import Rolling, byte_view, mix, slices, text_column, written
 
 LENGTH, GRAM = 400, 32
 #: Suffixes in one batch and, about, in one task; regions of a gram beyond which its suffixes are dealt by window.
@@ -120,11 +120,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
     found = written(docs.where(F.octet_length("text") >= length).select("k", "t", "text").mapInArrow(find, "k long, t long, gram long, region long, first int, last int"), "regions")
     distinct = written(found.groupBy("gram", "region").agg(F.count("*").alias("n"), F.min(F.struct("k", "t", "first", "last")).alias("one")), "distinct-regions")
-    release(docs.sparkSession)
     grams = distinct.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
     asked = distinct.join(grams.hint("merge"), "gram").select("one.*", "gram", (F.col("m") > hot).alias("hot"))
     asked = written(asked, "asked")
-    release(docs.sparkSession)
     suffixes = asked.agg(F.coalesce(F.sum(F.col("last") - F.col("first") + 1), F.lit(0))).first()[0]
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(suffixes / TASK))
     asked = asked.groupBy("k", "t").agg(F.collect_list(F.struct("gram", "hot", "first", "last")).alias("asked"))
@@ -210,7 +208,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))).withColumn("t", F.xxhash64("text"))
     spans = repeated_spans(rows, length, gram, hot)
-    release(docs.sparkSession)
 
     def take(batches):
         for batch in batches:

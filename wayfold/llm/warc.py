@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, open_fs, release, written
+from .common import new_folder, open_fs, written
 
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 100
@@ -170,7 +170,6 @@ def page_digests(index: DataFrame) -> DataFrame:
 def op4_warc(spark, sf_dir: str) -> DataFrame:
     """All of pages, written and read back."""
     index = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    release(spark)
     return page_digests(index)
 
 

@@ -16,15 +16,15 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, new_folder, open_fs, publish, release, slices, written
+from .common import byte_view, new_folder, open_fs, publish, slices, written
 
 MAGIC = b"WVMATRX1"
 #: Ids of one shard; a document is never cut, so a longer one is a shard of its own.
 SHARD_TOKENS = 1 << 20
-#: Words whose ids a Python worker remembers.
+#: Words whose ids a Python worker remembers, some 30 bytes each.
 REMEMBERED = 600_000
 END_ID = 1
 _BLOCK = 64  # bytes of a plane per entry of its rank directory
@@ -107,17 +107,18 @@ class WaveletMatrix:
         total += int(_ONES[rest].sum())
         return total + (bin(int(bits[i // 8]) & ((1 << (i % 8)) - 1)).count("1") if i % 8 else 0)
 
-    def _select(self, k: int, bit: int, j: int) -> int:
-        """Position of the j-th (from 0) bit of the kind in plane k, by binary search over ranks."""
-        low, high = 0, self.n
-        while low < high:
-            mid = (low + high) // 2
-            ones = self._rank1(k, mid + 1)
-            if (ones if bit else mid + 1 - ones) > j:
-                high = mid
-            else:
-                low = mid + 1
-        return low
+    def _select(self, k: int, bit: int, js: np.ndarray) -> np.ndarray:
+        """Positions of the j-th (from 0) bits of the kind in plane k: the directory finds the block, its bits the place."""
+        bits, ones = self._plane(k)
+        before = ones.astype(np.int64) if bit else 8 * _BLOCK * np.arange(len(ones), dtype=np.int64) - ones
+        out = np.empty(len(js), np.int64)
+        for a in range(0, len(js), 4096):
+            some = js[a : a + 4096]
+            block = np.searchsorted(before, some, "right") - 1
+            at = block[:, None] * _BLOCK + np.arange(_BLOCK)
+            inside = np.unpackbits(np.where(at < len(bits), bits[np.minimum(at, len(bits) - 1)], 0).astype(np.uint8), axis=1, bitorder="little") == bit
+            out[a : a + len(some)] = block * (8 * _BLOCK) + (np.cumsum(inside, 1, dtype=np.int32) > (some - before[block])[:, None]).argmax(1)
+        return out
 
     def _bit(self, token: int, k: int) -> int:
         return token >> (self.levels - 1 - k) & 1
@@ -149,18 +150,23 @@ class WaveletMatrix:
     def rank(self, token: int, i: int) -> int:
         return self.count(token, 0, i)
 
-    def select(self, token: int, j: int) -> int:
-        """Position of the j-th (from 0) occurrence of the id."""
-        if not 0 <= j < self.count(token):
-            raise IndexError(j)
-        at = self._descend(token, 0, 0)[0] + j
+    def _positions(self, token: int, js: np.ndarray) -> np.ndarray:
+        at = self._descend(token, 0, 0)[0] + js
         for k in range(self.levels - 1, -1, -1):
             bit = self._bit(token, k)
             at = self._select(k, bit, at - int(self.zeros[k]) if bit else at)
         return at
 
+    def select(self, token: int, j: int) -> int:
+        """Position of the j-th (from 0) occurrence of the id."""
+        if not 0 <= j < self.count(token):
+            raise IndexError(j)
+        return int(self._positions(token, np.array([j]))[0])
+
     def occurrences(self, token: int) -> list[int]:
-        return [self.select(token, j) for j in range(self.count(token))]
+        """Positions of all occurrences of the id, in order."""
+        n = self.count(token)
+        return self._positions(token, np.arange(n)).tolist() if n else []
 
     def decode(self) -> np.ndarray:
         """All ids, by undoing the partitions from the last plane up."""
@@ -176,12 +182,18 @@ class WaveletMatrix:
         return now
 
 
+def _gather(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[first[k]:first[k] + size[k]] for all k, one after another."""
+    end = np.cumsum(size)
+    return values[np.repeat(first - end + size, size) + np.arange(int(size.sum()))]
+
+
 class WordEncoder:
     """Encodes whole texts with a tokenizers file whose pre-tokenizer never joins text across white space.
 
     The ids of a text are then those of its white-space separated words in order, so each word is encoded once and
-    remembered (two generations of at most REMEMBERED / 2 words). Texts with the separators U+001C to U+001F, on which
-    Arrow and the tokenizer disagree, or with an added token in any case, which is found before lower-casing, are
+    remembered: an Arrow array of words beside flat arrays of their ids. Texts with the separators U+001C to U+001F, on
+    which Arrow and the tokenizer disagree, or with an added token in any case, which is found before lower-casing, are
     encoded as they are. `local=False` encodes every text whole.
     """
 
@@ -200,36 +212,30 @@ class WordEncoder:
         if suffix:
             self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
+        self.known = _Known(self.kind)
+        self.marks = _Known(self.kind)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text of a string array; null counts as empty."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         if not self.local:
-            return [np.frombuffer(x, self.kind) for x in self._encode(_listed(texts))]
+            return [np.array(x, self.kind) for x in self._encode(_listed(texts))]
         whole = pc.match_substring_regex(texts, self.apart)
         apart = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
         lists = pc.utf8_split_whitespace(self._lowered(pc.if_else(whole, "", texts)))
-        words = lists.flatten()
         # A text of blanks only, or none, splits into empty strings, which have no ids.
-        coded = words.dictionary_encode()
-        known = self._words(coded.dictionary)
-        ids = np.frombuffer(b"".join(known), self.kind)
-        size = np.fromiter(map(len, known), np.int64, len(known)) // self.kind().itemsize
-        first = np.r_[0, np.cumsum(size)]
+        coded = lists.flatten().dictionary_encode()
+        ids, first, size = self._words(coded.dictionary)
         code = coded.indices.to_numpy()
         sizes = size[code]
-        end = np.cumsum(sizes)
-        ids = ids[np.repeat(first[code] - end + sizes, sizes) + np.arange(int(sizes.sum()))]
-        at = np.r_[0, end][np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]]
+        ids = _gather(ids, first[code], sizes)
+        at = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]]
         out = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         for k, x in zip(apart.tolist(), self._encode(_listed(texts.take(pa.array(apart)))), strict=True):
-            out[k] = np.frombuffer(x, self.kind)
+            out[k] = np.array(x, self.kind)
         return out
 
     def _lowered(self, texts: pa.Array) -> pa.Array:
@@ -238,50 +244,86 @@ class WordEncoder:
             return texts
         return pc.if_else(pc.match_substring_regex(texts, "[^\x00-\u00ff]"), texts, pc.ascii_lower(texts))
 
-    def _words(self, words: pa.Array) -> list[bytes]:
-        """The ids of each of some distinct words. ASCII marks after letters are a piece of their own, save after _UNSAFE ones."""
-        if len(self.young) > REMEMBERED // 2:
-            self.old, self.young = self.young, {}
-        if len(self.marks) > 10_000:
-            self.marks = {}
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, size) of distinct words. ASCII marks after letters are a piece of their own, save after _UNSAFE ones."""
         core = pc.ascii_rtrim(words, characters=_MARKS)
         letters = pc.and_not(pc.utf8_is_alpha(core), pc.match_substring_regex(core, _UNSAFE))
-        coded = pc.if_else(letters, core, words).dictionary_encode()
-        keys, young, old, plain, odd = _listed(coded.dictionary), self.young, self.old, [], []
-        for w in keys:
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                elif w.isalpha():
-                    plain.append(w)
-                else:
-                    odd.append(w)
-        self._learn_plain(plain)
-        young.update(zip(odd, self._encode(odd), strict=True))
-        found = [young[w] for w in keys]
-        out = [found[c] for c in _listed(coded.indices)]
         cut = pc.and_(letters, pc.not_equal(pc.binary_length(core), pc.binary_length(words)))
+        coded = pc.if_else(letters, core, words).dictionary_encode()
+        first, size = self.known(coded.dictionary, self._learn)
+        code = coded.indices.to_numpy()
         at = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
-        tails = [w[n:] for w, n in zip(_listed(words.take(pa.array(at))), _listed(pc.utf8_length(core.take(pa.array(at)))), strict=True)]
-        new = sorted(set(tails) - self.marks.keys())
-        self.marks.update(zip(new, self._encode(new), strict=True))
-        for k, tail in zip(at.tolist(), tails, strict=True):
-            out[k] += self.marks[tail]
+        ends = words.take(pa.array(at))
+        # The tail of a word is what follows its core, byte for byte.
+        data, offsets = byte_view(ends.cast(pa.large_string()).cast(pa.large_binary()))
+        size_of = pc.binary_length(core.take(pa.array(at))).to_numpy()
+        length = np.diff(offsets) - size_of
+        body = _gather(data, offsets[:-1] + size_of, length)
+        tails = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(np.r_[0, np.cumsum(length)].astype(np.int64)), pa.py_buffer(np.ascontiguousarray(body))])
+        coded = tails.dictionary_encode()
+        tail_first, tail_size = self.marks(coded.dictionary, lambda new: self._encode(_listed(new)))
+        tail = coded.indices.to_numpy()
+        # Two segments a word, the core in the one pool and the tail in the other behind it.
+        pool = np.concatenate([self.known.ids, self.marks.ids])
+        firsts, sizes = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
+        firsts[:, 0], sizes[:, 0] = first[code], size[code]
+        firsts[at, 1], sizes[at, 1] = tail_first[tail] + len(self.known.ids), tail_size[tail]
+        ids = _gather(pool, firsts.ravel(), sizes.ravel())
+        size = sizes.sum(1)
+        return ids, np.cumsum(size) - size, size
+
+    def _learn(self, words: pa.Array) -> list:
+        """The ids of new words. Words of letters only are one piece each: many are encoded as one text and cut at the ids that end a word."""
+        words = _listed(words)
+        out: list = [None] * len(words)
+        plain = [k for k, w in enumerate(words) if w.isalpha()] if self.ends is not None else []
+        for a in range(0, len(plain), 20_000):
+            some = plain[a : a + 20_000]
+            ids = np.array(self._encode([" ".join([words[k] for k in some])])[0], self.kind)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some):
+                for k, x, y in zip(some, np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+                    out[k] = ids[x:y]
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(rest, self._encode([words[k] for k in rest]), strict=True):
+            out[k] = x
         return out
 
-    def _learn_plain(self, words: list[str]) -> None:
-        """Words of letters only are one piece each: encode many as one text and cut at the ids that end a word."""
-        for a in range(0, len(words), 20_000):
-            some = words[a : a + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
-            ends = np.flatnonzero(self.ends[ids]) + 1 if self.ends is not None else ()
-            if len(ends) == len(some):
-                data, size, last = ids.tobytes(), ids.itemsize, 0
-                for w, e in zip(some, (ends * size).tolist(), strict=True):
-                    self.young[w] = data[last:e]
-                    last = e
-            else:
-                self.young.update(zip(some, self._encode(some), strict=True))
+
+class _Known:
+    """Remembered strings and their ids. Beyond REMEMBERED strings only those of the last call stay."""
+
+    def __init__(self, kind):
+        self.kind = kind
+        self.forget()
+
+    def forget(self) -> None:
+        self.strings = pa.array([], pa.large_string())
+        self.ids, self.first, self.size = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __call__(self, strings: pa.Array, learn) -> tuple[np.ndarray, np.ndarray]:
+        """(first, size) in self.ids of distinct strings; learn(new strings) gives their lists of ids."""
+        if len(self.strings) > REMEMBERED:
+            at = pc.index_in(strings, value_set=self.strings).drop_null()
+            kept = self.strings.take(at)
+            at = at.to_numpy()
+            ids, size = _gather(self.ids, self.first[at], self.size[at]), self.size[at]
+            self.strings, self.ids, self.first, self.size = kept, ids, np.cumsum(size) - size, size
+        at = pc.index_in(strings, value_set=self.strings)
+        new = strings.filter(pc.is_null(at))
+        if len(new):
+            lists = learn(new)
+            size = np.fromiter(map(len, lists), np.int64, len(lists))
+            ids = np.concatenate([np.asarray(x, self.kind) for x in lists])
+            first = np.cumsum(size) - size + len(self.ids)
+            fresh = np.flatnonzero(pc.is_null(at).to_numpy(zero_copy_only=False))
+            place = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+            place[fresh] = len(self.strings) + np.arange(len(new))
+            self.strings = pa.concat_arrays([self.strings, new.cast(pa.large_string())])
+            self.ids, self.first, self.size = np.concatenate([self.ids, ids]), np.r_[self.first, first], np.r_[self.size, size]
+        else:
+            place = at.to_numpy().astype(np.int64)
+        return self.first[place], self.size[place]
 
 
 _ENCODERS: dict[tuple, WordEncoder] = {}
@@ -290,8 +332,8 @@ _ENCODERS: dict[tuple, WordEncoder] = {}
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, local: bool = True) -> tuple[DataFrame, str]:
     """Encode docs(doc_id, text), write shard files in ascending doc_id order; (table of files, folder).
 
-    Null texts count as empty; null ids come first; rows with equal ids are ordered by text. Every document ends with
-    end_id. A task that runs again writes the same files.
+    Null texts count as empty; null ids come first; rows of one id are ordered by a hash of the text, then the text, so
+    that many of them are dealt out as well. Every document ends with end_id. A task that runs again writes the same files.
     """
     spark = docs.sparkSession
     folder = new_folder(spark, "tokens")
@@ -327,18 +369,23 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_to
         if ids:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    files = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(lean(run), "part long, shard long, path string, documents long, tokens long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+    files = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").mapInArrow(run, "part long, shard long, path string, documents long, tokens long")
     return written(files, "token-files"), folder
 
 
+def _bases(files: DataFrame) -> DataFrame:
+    """files with `base`, the ids of all files before, as sums over the files of a part, the parts of a block and the blocks."""
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = files.groupBy("part").agg(F.sum("tokens").alias("n")).withColumn("block", F.expr("part div 1000"))
+    blocks = parts.groupBy("block").agg(F.sum("n").alias("n")).select("block", before(Window.orderBy("block")).alias("block_base"))
+    parts = parts.select("part", "block", before(Window.partitionBy("block").orderBy("part")).alias("part_base")).join(blocks, "block")
+    inside = F.coalesce(F.sum("tokens").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return files.select("part", "path", inside.alias("inside")).join(parts, "part").select("path", (F.col("inside") + F.col("part_base") + F.col("block_base")).alias("base"))
+
+
 def read_shards(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, path) of every document, decoded from the shard files."""
-    spark = files.sparkSession
-    base, rows = 0, []
-    for r in sorted(files.collect()):  # one row per file
-        rows.append((r.path, base))
-        base += r.tokens
 
     def run(batches):
         for batch in batches:
@@ -350,8 +397,9 @@ def read_shards(files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(shard.starts[:-1], shard.starts[1:], strict=True)]
                 yield pa.record_batch([pa.array(shard.doc_ids, pa.int64()), pa.array(shard.starts[:-1] + base, pa.int64()), pa.array(shard.lengths, pa.int64()), pa.array(crc, pa.int64()), pa.array([path] * len(crc), pa.string())], ["doc_id", "start", "n_tokens", "ids_crc32", "path"])
 
-    index = spark.createDataFrame(rows, "path string, base long").repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism)))
-    return index.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long, path string")
+    # A row stands for a file of some megabytes, so rows are dealt one by one; adaptive execution would join them by their own bytes.
+    n = max(4 * files.sparkSession.sparkContext.defaultParallelism, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return _bases(files).repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, path string")
 
 
 def token_output(docs: DataFrame, tokenizer: str | None = None, **options) -> DataFrame:
@@ -364,7 +412,6 @@ def token_output(docs: DataFrame, tokenizer: str | None = None, **options) -> Da
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     files, _ = write_shards(docs, tokenizer, **options)
-    release(docs.sparkSession)
     return read_shards(files).drop("path")
 
 
