@@ -430,48 +430,96 @@ def test_decontamination_against_all_diagonals(spark):
 # 9
 
 
-def brute_repeats(rows, length):
+def brute_repeats(rows, length, short):
     data = [(t or "").encode() for t in rows]
-    seen = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
+    count = lambda n: Counter(b[i : i + n] for b in data for i in range(len(b) - n + 1))
+    seen, brief = count(length), count(short)
     out = []
     for b in data:
         gone = bytearray(len(b))
         for i in range(len(b) - length + 1):
             if seen[b[i : i + length]] > 1:
                 gone[i : i + length] = b"\1" * length
-        out.append((len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), bytes(x for x, g in zip(b, gone, strict=True) if not g)))
+        repeats = any(brief[b[i : i + short]] > 1 for i in range(len(b) - short + 1))
+        out.append((len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), bytes(x for x, g in zip(b, gone, strict=True) if not g), repeats))
     return sorted(out)
 
 
-@pytest.mark.parametrize(("hot", "batch"), [(100_000, 1 << 18), (1, 1 << 18), (100_000, 64)])
-def test_repeats_against_all_strings(spark, monkeypatch, hot, batch):
-    monkeypatch.setattr(suffix_dedup, "BATCH", batch)
-    rng = random.Random(6)
+def of_repeats(r):
+    assert hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256
+    return (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept), r.repeats)
+
+
+def repeating_texts(seed, n):
+    rng = random.Random(seed)
     passage = "".join(rng.choice("ab") for _ in range(90))
-    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 200))) + rng.choice(["", passage, passage[10:80]]) + "é" * rng.randint(0, 3) + rng.choice(["", "x" * 60]) for _ in range(60)]
-    texts += [texts[0], None, "", "a" * 100, passage + passage, "b" * 39]
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 200))) + rng.choice(["", passage, passage[10:80], passage[:33]]) + "é" * rng.randint(0, 3) + rng.choice(["", "x" * 60, "xy\0" * 30, "\0" * rng.randint(1, 50)]) for _ in range(n)]
+    return [*texts, texts[0], None, "", "a" * 100, passage + passage, "b" * 39, "xyz" * 200, "zxy" * 30, "lone " + "xyzw" * 12]
+
+
+@pytest.mark.parametrize(("hot", "batch", "part"), [(100_000, 1 << 16, 1 << 20), (1, 1 << 16, 1 << 20), (100_000, 64, 1 << 20), (1, 64, 50), (100_000, 1 << 16, 37)])
+def test_repeats_against_all_strings(spark, monkeypatch, hot, batch, part):
+    for name, value in (("BATCH", batch), ("PART", part), ("CHUNK_BYTES", min(part, 1 << 20))):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    texts = repeating_texts(6, 60)
     d = spark.createDataFrame([(k % 50 if k != 7 else None, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    got = sorted((r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix_dedup.remove_repeats(d, 40, 8, hot).collect())
-    assert got == brute_repeats(texts, 40)
+    got = sorted(map(of_repeats, suffix_dedup.remove_repeats(d, 40, 30, 8, hot).collect()))
+    assert got == brute_repeats(texts, 40, 30)
 
 
 def test_repeat_edges(spark):
     d = edge_docs(spark)
-    got = sorted((r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix_dedup.remove_repeats(d).collect())
-    assert got == brute_repeats([r.text for r in d.collect()], 400)
+    got = sorted(map(of_repeats, suffix_dedup.remove_repeats(d).collect()))
+    assert got == brute_repeats([r.text for r in d.collect()], 400, 300)
     assert suffix_dedup.remove_repeats(d.limit(0)).count() == 0
 
 
-def test_levels_stay_geometric_and_marks_are_complete():
-    rng, family, known, marked = np.random.default_rng(0), suffix_dedup.IndexFamily(), [], set()
-    for n in rng.integers(1, 50, 60):
-        new = rng.integers(0, 2000, n).astype(np.uint64)
-        known += new.tolist()
-        marked |= set(family.add(new).tolist())
+def test_batches_added_one_after_another_to_a_kept_index(spark):
+    texts, folder, spans, flags = repeating_texts(11, 40), None, {}, set()
+    for a in range(0, len(texts), 13):
+        family = suffix_dedup.IndexFamily(spark, folder, 40, 30, 8)
+        folder = family.folder
+        found, marks = family.add(spark.createDataFrame([(t,) for t in texts[a : a + 13]], "text string"))
+        for r in suffix_dedup.removed(found, marks, 40, 30).join(found.select("t", "u", "text"), ["t", "u"]).collect():
+            gone = spans.setdefault(r.text, set())
+            for s in r.spans:
+                gone.update(range(s.start, s.end))
+            if r.repeats:
+                flags.add(r.text)
+        sizes = [x["size"] for x in family.levels]
+        assert all(x >= 2 * y for x, y in zip(sizes, sizes[1:], strict=False))
+        known = texts[: a + 13]
+        want = dict(zip(known, [None] * len(known), strict=True))
+        for t in want:
+            b = (t or "").encode()
+            rest = bytes(x for k, x in enumerate(b) if k not in spans.get(t, ()))
+            want[t] = (len(b), len(b) - len(rest), rest, t in flags)
+        assert sorted(want[t] for t in known) == sorted((x[0], x[1], x[3], x[4]) for x in brute_repeats(known, 40, 30))
+    with pytest.raises(ValueError):
+        suffix_dedup.IndexFamily(spark, folder, 41, 30, 8)
+
+
+def test_a_long_run_of_one_byte_is_one_region_and_goes():
+    data = np.full(300_000, 97, np.uint8)
+    _, first, last, periodic, _, _ = suffix_dedup.regions(data, np.array([0, len(data)]), 400, 300, 32)
+    assert first.tolist() == [0] and last.tolist() == [len(data) - 300] and periodic.all()
+
+
+def test_suffix_arrays_are_in_byte_order_and_levels_geometric():
+    rng, family, texts = np.random.default_rng(0), suffix_dedup.SuffixFamily(12, 8), []
+    for n in rng.integers(12, 60, 40):
+        body = rng.integers(0, 3, n).astype(np.uint8)
+        at = np.arange(n - 8 + 1)
+        family.add(body, at, np.minimum(12, n - at))
+        texts += [body[i : i + 12].tobytes() for i in at]
         sizes = [len(a) for a, _ in family.levels]
-        assert all(x >= 2 * y for x, y in zip(sizes, sizes[1:], strict=False)) and sum(sizes) == len(known)
-    often = Counter(known)
-    assert marked == {k for k, x in enumerate(known) if often[x] > 1}
+        assert all(x >= 2 * y for x, y in zip(sizes, sizes[1:], strict=False))
+        for rows, number in family.levels:
+            order = [texts[k] for k in number.tolist()]
+            assert order == sorted(order) and [r[: len(t)].tobytes() for r, t in zip(rows, order, strict=True)] == order
+    full, brief = Counter(texts), Counter(t[:8] for t in texts)
+    want = [2 if len(t) == 12 and full[t] > 1 else 1 if brief[t[:8]] > 1 else 0 for t in texts]
+    assert family.found.tolist() == want
 
 
 # 10

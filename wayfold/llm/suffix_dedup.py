@@ -1,33 +1,40 @@
 """Operator 9: removal of long repeated byte strings by a logarithmic family of suffix arrays.
 
-1. Every window of `length` bytes has an anchor: the place of its smallest hashed gram (leftmost among equals). Equal
-   windows have equal anchors at equal offsets, so they meet under the anchor's gram. Windows that share an anchor are
-   consecutive and make a region; there are about 2 regions for each `length` bytes.
-2. Regions that occur more than once repeat whole and need no search. Of the others only those whose gram has more
-   than one distinct region are searched, one copy of each distinct region.
-3. The suffixes (windows) of these regions are dealt by gram; those of a gram with very many regions by window. Each
-   task takes them in batches: a batch gets its suffix array, truncated at `length` bytes and ordered by fingerprint;
-   it is merge-scanned against every level of the index for suffixes equal to that depth, both sides are marked,
-   and the batch becomes a level. Levels of equal size merge, so a suffix is merged a logarithmic number of times.
-4. Bytes of marked windows and of repeated regions are removed.
+1. Equal texts are one text with a count of copies; copied texts repeat whole.
+2. Every window of `short` bytes has an anchor: the place of its smallest hashed gram. Equal windows have equal anchors
+   at equal offsets, so they meet under the anchor's gram. Consecutive windows with one gram make a region (a periodic
+   passage is one region, however long); there are about 2 regions for each `short` bytes. The distinct regions of a
+   batch of texts, in the order of their grams, are the batch's level in the index family.
+3. A new batch is merge-scanned against every level on the gram. A region that occurs twice repeats whole and needs no
+   search. Of the others only those whose gram has more than one distinct region, or that are periodic, are searched,
+   one copy of each. Levels of equal size merge, so an entry is rewritten a logarithmic number of times.
+4. The suffixes (windows, cut at `length` bytes) of these regions are dealt by gram. A task takes them in batches: a
+   batch gets its suffix array in byte order, the longest common prefixes of neighbours mark repeats, and it is
+   merge-scanned against the levels of the task's own family and becomes a level in it; equal-sized levels merge.
+   Suffixes of a gram with very many regions are dealt by fingerprint instead, copies within a task combined first.
+5. Bytes of windows marked to `length` bytes are removed; a mark to `short` bytes is reported only.
 """
 
 from __future__ import annotations
 
+import json
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, byte_view, mix, slices, text_column, written
+from .common import CHUNK_BYTES, Rolling, byte_view, mix, new_folder, open_fs, publish, slices, text_column, write_table
 
-LENGTH, GRAM = 400, 32
-#: Suffixes in one batch and, about, in one task; regions of a gram beyond which its suffixes are dealt by window.
-BATCH, TASK, HOT = 1 << 18, 2 << 20, 100_000
+#: Bytes of a removed string; bytes of a string that is reported (nearly all passages of over 50 words are as long); of a gram.
+LENGTH, SHORT, GRAM = 400, 300, 32
+#: Windows of one text that one call works on; longer texts are worked on in overlapping parts.
+PART = 1 << 20
+#: Suffixes in one batch and, about, in one task; regions of a gram beyond which its suffixes are dealt by fingerprint.
+BATCH, TASK, HOT = 1 << 16, 1 << 18, 100_000
 _PLACE = np.uint64((1 << 30) - 1)
-_NULL_ID = -(1 << 63)
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -41,202 +48,430 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(after[: n - w + 1], before[w - 1 : n])
 
 
-def regions(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """(text, first, last, anchor, gram hash, region hash) of all regions; places count from the start of the buffer."""
+def regions(data: np.ndarray, offsets: np.ndarray, length: int, short: int, gram: int, most: int | None = None):
+    """(text, first, last, periodic, gram hash, region hash) of all regions of windows that start before `most`."""
     n = len(data)
-    if n < length or n > int(_PLACE):
-        if n < length:
-            z = np.zeros(0, np.int64)
-            return z, z, z, z, z.astype(np.uint64), z.astype(np.uint64)
-        raise ValueError("a text of more than 1 GiB")
+    if n < short:
+        z = np.zeros(0, np.int64)
+        return z, z, z, z.astype(bool), z.astype(np.uint64), z.astype(np.uint64)
     roll = Rolling(data)
     at = np.arange(n - gram + 1)
     hashes = roll.ranges(at, at + gram)
-    low = _sliding_min(hashes & ~_PLACE | at.astype(np.uint64), length - gram + 1)
-    anchor = (low & _PLACE).astype(np.int64)
+    anchor = (_sliding_min(hashes & ~_PLACE | at.astype(np.uint64), short - gram + 1) & _PLACE).astype(np.int64)
     end = np.repeat(offsets[1:], np.diff(offsets))
-    start = np.flatnonzero(at[: len(anchor)] + length <= end[: len(anchor)])
-    own = anchor[start]
+    start = np.flatnonzero(at[: len(anchor)] + short <= end[: len(anchor)])
+    if most is not None:
+        start = start[start < most]
+    anchor = anchor[start]
+    own = hashes[anchor]
     new = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (start[1:] != start[:-1] + 1)]) if len(start) else start
-    first, last = start[new], start[np.r_[new[1:], len(start)] - 1] if len(start) else start
-    anchor = own[new]
-    body = roll.ranges(first, last + length)
-    body = mix(body ^ ((anchor - first).astype(np.uint64) << np.uint64(32)) ^ (last - first).astype(np.uint64))
-    return np.searchsorted(offsets, first, "right") - 1, first, last, anchor, hashes[anchor], body
+    stop = np.r_[new[1:], len(start)] - 1 if len(start) else start
+    first, last = start[new], start[stop]
+    until = np.minimum(last + length, end[first])
+    body = roll.ranges(first, until)
+    body = mix(body ^ ((until - first).astype(np.uint64) << np.uint64(32)) ^ (last - first).astype(np.uint64))
+    return np.searchsorted(offsets, first, "right") - 1, first, last, anchor[new] != anchor[stop], own[new], body
 
 
-class IndexFamily:
-    """Levels of suffix arrays: (fingerprints in order, their suffix numbers). Sizes at least double from level to level."""
-
-    def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        self.count = 0
-
-    def add(self, prints: np.ndarray) -> np.ndarray:
-        """Number the suffixes of a batch, add them, and return the numbers of all suffixes now known to be repeated."""
-        order = np.argsort(prints, kind="stable")
-        array, number = prints[order], order + self.count
-        self.count += len(prints)
-        same = array[1:] == array[:-1]
-        marked = [number[:-1][same], number[1:][same]]
+class SuffixFamily:
+    """Levels of suffix arrays in byte order. Sizes at least double from level to level; equal suffixes are kept once.
+
+    A suffix is cut at `length` bytes or at its text's end. found[n] is 0, 1 or 2: nothing equal so far, another suffix
+    equal in `short` bytes, or in `length` bytes.
+    """
+
+    def __init__(self, length: int, short: int):
+        self.length, self.short = length, short
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # rows in order, suffix numbers
+        self.found = np.zeros(0, np.uint8)
+
+    def _rows(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """One row a suffix: its bytes, zeros behind them, and its size, so that rows order and tell apart as suffixes do."""
+        place = np.arange(self.length)
+        rows = np.zeros((len(start), self.length + 4), np.uint8)
+        for a in range(0, len(start), 8192):
+            at, some = start[a : a + 8192, None] + place, size[a : a + 8192, None]
+            rows[a : a + 8192, : self.length] = np.where(place < some, data[np.minimum(at, len(data) - 1)], 0)
+        rows[:, self.length :] = size.astype(">u4").view(np.uint8).reshape(-1, 4)
+        return rows
+
+    def _order(self, rows: np.ndarray) -> np.ndarray:
+        width = self.length + 4
+        return pc.sort_indices(pa.Array.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows)])).to_numpy()
+
+    def _scan(self, rows: np.ndarray, number: np.ndarray) -> None:
+        """Mark neighbours in order by their longest common prefix."""
+        size = np.ascontiguousarray(rows[:, self.length :]).view(">u4").ravel().astype(np.int64)
+        for a in range(0, len(rows) - 1, 8192):
+            b = min(a + 8192, len(rows) - 1)
+            unlike = rows[a + 1 : b + 1, : self.length] != rows[a:b, : self.length]
+            common = np.where(unlike.any(1), unlike.argmax(1), self.length)
+            common = np.minimum(common, np.minimum(size[a:b], size[a + 1 : b + 1]))
+            level = (common >= self.short).astype(np.uint8) + (common >= self.length)
+            for side in (number[a:b], number[a + 1 : b + 1]):
+                self.found[side] = np.maximum(self.found[side], level)
+
+    def add(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Number the suffixes data[start:start + size] of a batch, mark what they share with those known, and add them."""
+        base = len(self.found)
+        self.found = np.r_[self.found, np.zeros(len(start), np.uint8)]
+        prints = mix(Rolling(data).ranges(start, start + size) ^ size.astype(np.uint64))
+        by = np.argsort(prints, kind="stable")
+        new = np.r_[True, prints[by[1:]] != prints[by[:-1]]] if len(by) else np.zeros(0, bool)
+        often = np.diff(np.r_[np.flatnonzero(new), len(by)]) > 1
+        twin = by[often[np.cumsum(new) - 1]]
+        self.found[base + twin] = 1 + (size[twin] >= self.length)
+        one = by[new]
+        rows = self._rows(data, start[one], size[one])
+        order = self._order(rows)
+        rows, number = rows[order], one[order] + base
+        self._scan(rows, number)
         for old, numbers in self.levels:
-            # Merge scan: both are in order, so the places of the new suffixes in the old array only move up.
-            left, right = np.searchsorted(old, array), np.searchsorted(old, array, "right")
-            hit = right > left
-            marked.append(number[hit])
-            left, right = left[hit], right[hit]
-            if len(left):
-                cover = np.zeros(len(old) + 1, np.int64)
-                np.add.at(cover, left, 1)
-                np.add.at(cover, right, -1)
-                marked.append(numbers[np.cumsum(cover[:-1]) > 0])
-        self.levels.append((array, number))
+            both, who = np.concatenate([old, rows]), np.concatenate([numbers, number])
+            order = self._order(both)
+            self._scan(both[order], who[order])
+        self.levels.append((rows, number))
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
             (a, x), (b, y) = self.levels.pop(), self.levels.pop()
-            both = np.concatenate([b, a])
-            order = np.argsort(both, kind="stable")  # two runs in order
-            self.levels.append((both[order], np.concatenate([y, x])[order]))
-        return np.concatenate(marked)
+            both, who = np.concatenate([b, a]), np.concatenate([y, x])
+            order = self._order(both)
+            both, who = both[order], who[order]
+            keep = np.r_[True, (both[1:] != both[:-1]).any(1)]  # equal ones have been marked
+            self.levels.append((both[keep], who[keep]))
 
 
-_REQUEST = "array<struct<gram:bigint,hot:boolean,first:int,last:int>>"
+_KEYS = ["t", "u"]
+_PIECE = "kind int, part int, t long, u long, first int, width int, data binary, at binary"
+_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+_NAMES = [x.split()[0] for x in _PIECE.split(", ")]
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(k, t, spans): for docs(k, t, text), the byte ranges (start, end) covered by repeated windows, unmerged."""
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], _NAMES)
 
-    def find(batches):
-        for batch in batches:
-            column = text_column(batch, "text")
-            k, t = batch.column("k").to_numpy(), batch.column("t").to_numpy()
-            data, offsets = byte_view(column)
-            for a, b in slices(offsets):
-                base = offsets[a : b + 1] - offsets[a]
-                text, first, last, anchor, g, r = regions(data[offsets[a] : offsets[b]], base, length, gram)
-                yield pa.record_batch(
-                    [pa.array(x) for x in (k[a + text], t[a + text], g.view(np.int64), r.view(np.int64), (first - base[text]).astype(np.int32), (last - base[text]).astype(np.int32))],
-                    ["k", "t", "gram", "region", "first", "last"],
-                )
-
-    found = written(docs.where(F.octet_length("text") >= length).select("k", "t", "text").mapInArrow(find, "k long, t long, gram long, region long, first int, last int"), "regions")
-    distinct = written(found.groupBy("gram", "region").agg(F.count("*").alias("n"), F.min(F.struct("k", "t", "first", "last")).alias("one")), "distinct-regions")
-    grams = distinct.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
-    asked = distinct.join(grams.hint("merge"), "gram").select("one.*", "gram", (F.col("m") > hot).alias("hot"))
-    asked = written(asked, "asked")
-    suffixes = asked.agg(F.coalesce(F.sum(F.col("last") - F.col("first") + 1), F.lit(0))).first()[0]
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(suffixes / TASK))
-    asked = asked.groupBy("k", "t").agg(F.collect_list(F.struct("gram", "hot", "first", "last")).alias("asked"))
-
-    names = ["part", "k", "t", "first", "data", "at"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-
-    def cut(batches):
-        for batch in batches:
-            data, offsets = byte_view(text_column(batch, "text"))
-            ks, ts, lists = (batch.column(c).to_pylist() for c in ("k", "t", "asked"))
-            rows: list[tuple] = []
-            held = 0
-            for i, (k, t) in enumerate(zip(ks, ts, strict=True)):
-                text = data[offsets[i] : offsets[i + 1]]
-                for q in lists[i]:
-                    piece = text[q["first"] : q["last"] + length]
-                    if not q["hot"]:
-                        rows.append((q["gram"] % parts, k, t, q["first"], piece.tobytes(), None))
-                    else:
-                        at = np.arange(len(piece) - length + 1)
-                        prints = Rolling(piece).ranges(at, at + length)
-                        to = (prints % np.uint64(parts)).astype(np.int64)
-                        rows += [(int(p), k, t, q["first"], prints[to == p].tobytes(), at[to == p].astype(np.int32).tobytes()) for p in np.unique(to)]
-                    held += 8 * len(piece)
-                if held > 16 << 20:
-                    yield pa.record_batch([pa.array(c, x) for c, x in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                    rows, held = [], 0
-            if rows:
-                yield pa.record_batch([pa.array(c, x) for c, x in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    def search(batches):
-        family, owners, places, marked = IndexFamily(), [], [], []
-        prints, size = [], 0
-        keys: list[tuple[int, int]] = []
-
-        def step():
-            nonlocal prints, size
-            if size:
-                marked.append(np.unique(family.add(np.concatenate(prints))))
-            prints, size = [], 0
 
-        for batch in batches:
-            k, t, first = (batch.column(c).to_numpy() for c in ("k", "t", "first"))
-            data, at = batch.column("data"), batch.column("at")
-            for i in range(batch.num_rows):
-                body = np.frombuffer(data[i].as_buffer(), np.uint8)
-                if at[i].is_valid:
-                    new, where = body.view(np.uint64), np.frombuffer(at[i].as_buffer(), np.int32)
-                else:
-                    where = np.arange(len(body) - length + 1, dtype=np.int32)
-                    new = Rolling(body).ranges(where, where + length)
-                prints.append(new)
-                owners.append(np.full(len(new), len(keys), np.int32))
-                places.append(where + first[i])
-                keys.append((k[i], t[i]))
-                size += len(new)
-                if size >= BATCH:
-                    step()
-        step()
-        if marked and len(hit := np.unique(np.concatenate(marked))):
-            owner, place = np.concatenate(owners)[hit], np.concatenate(places)[hit]
-            new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)])
-            end = np.r_[new[1:], len(hit)] - 1
-            key = np.array(keys, np.int64)[owner[new]]
-            yield pa.record_batch([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(place[new].astype(np.int32)), pa.array((place[end] + length).astype(np.int32))], ["k", "t", "start", "end"])
-
-    pieces = docs.join(asked.hint("merge"), ["k", "t"]).select("k", "t", "text", "asked").mapInArrow(cut, "part int, k long, t long, first int, data binary, at binary")
-    # Each part is one task, whatever the hash of its number.
-    single = pieces.repartitionById(parts, "part").mapInArrow(search, "k long, t long, start int, end int")
-    whole = found.join(distinct.where("n > 1").select("gram", "region").hint("merge"), ["gram", "region"]).select("k", "t", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-    return written(single.union(whole).groupBy("k", "t").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, spans, kept) for each row of docs(doc_id, text).
+def _unpack(span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, width) of a packed region: first << 23 | width << 1 | periodic."""
+    return span >> 23, span >> 1 & (1 << 22) - 1
 
-    Removed is each byte of the UTF-8 text covered by a `length`-byte string that also starts anywhere else in the
-    input, in the same text included. spans are the maximal removed byte ranges, kept the remaining bytes. A null or
-    empty text has 0 bytes and nothing kept. Repeated rows are different places, so long ones are removed whole; ids may
-    be null or repeat. Other columns are ignored; an empty table gives no rows.
+
+class IndexFamily:
+    """A family of index levels in the shared folder, to which batches of texts are added one after another.
+
+    A level is a table of texts(t, u, copies, text), t and u being hashes of the text, and one of entries(gram, region, n,
+    t, u, span, periodic): the distinct regions in runs ordered by gram. `folder` names the family: a new one if None; an
+    existing one is opened again, in this or a later session. One writer at a time.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))).withColumn("t", F.xxhash64("text"))
-    spans = repeated_spans(rows, length, gram, hot)
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, length: int = LENGTH, short: int = SHORT, gram: int = GRAM, hot: int = HOT):
+        self.spark, self.folder = spark, folder or new_folder(spark, "suffix-family")
+        self.length, self.short, self.gram, self.hot = length, short, gram, hot
+        fs, path = open_fs(f"{self.folder}/family.json")
+        self.levels: list[dict] = []
+        if folder and fs.get_file_info(path).is_file:
+            with fs.open_input_file(path) as f:
+                kept = json.loads(f.read())
+            if kept["parameters"] != [length, short, gram]:
+                raise ValueError(f"the family in {folder} has the parameters {kept['parameters']}")
+            self.levels = kept["levels"]
+
+    def _written(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        path = new_folder(self.spark, name)
+        write_table(df, path)
+        return self.spark.read.schema(df.schema).parquet(path), path
+
+    def _all(self, kind: str) -> DataFrame:
+        frames = [self.spark.read.parquet(x[kind]) for x in self.levels]
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.union(f)
+        return out
+
+    def add(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Add a batch rows(text); (texts, marks) after it.
+
+        texts(t, u, copies, text) are the distinct texts of `short` bytes or more in the batch and those known before
+        that it marks anew. marks(t, u, first, last) are ranges of window starts of them that repeat in `length` bytes
+        anywhere in the family; a first of -1 says that a string of `short` bytes or more does. Of a text with copies
+        above 1 no window need be named.
+        """
+        rows = rows.select(F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= self.short)
+        texts = rows.groupBy(F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), "text").alias("u")).agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+        texts, path = self._written(texts, "texts")
+        fresh = texts
+        if self.levels:
+            known = self._all("texts").select(*_KEYS)
+            fresh, path = self._written(texts.join(known, _KEYS, "left_anti"), "texts")
+        found, _ = self._written(self._regions(fresh), "regions")
+        entries = found.groupBy("gram", "region").agg(F.count("*").alias("n"), F.min(F.struct("t", "u", "span")).alias("one"))
+        entries = entries.select("gram", "region", "n", "one.t", "one.u", "one.span").sortWithinPartitions("gram", "region")
+        entries, entries_path = self._written(entries, "entries")
+        twice = entries.where("n > 1").select("gram", "region")
+        pool, source = entries, texts
+        if self.levels:
+            # The merge scan: of the levels only entries of the batch's grams matter.
+            old, _ = self._written(self._all("entries").join(entries.select("gram").distinct(), "gram", "left_semi"), "met")
+            again = entries.select("gram", "region").join(old.select("gram", "region"), ["gram", "region"], "left_semi")
+            twice = twice.union(again).distinct()
+            pool = entries.union(old).groupBy("gram", "region").agg(F.min(F.struct("t", "u", "span")).alias("one")).select("gram", "region", "one.*")
+        grams = pool.groupBy("gram").agg(F.count("*").alias("m"), F.max(F.col("span").bitwiseAND(F.lit(1))).alias("periodic")).where("m > 1 or periodic = 1")
+        asked, _ = self._written(pool.join(grams, "gram").select("t", "u", "gram", "span", (F.col("m") > self.hot).alias("hot")), "asked")
+        if self.levels:
+            marked = self._all("texts").join(asked.union(old.select("t", "u", "gram", "span", F.lit(False))).select(*_KEYS).distinct(), _KEYS, "left_semi")
+            copied = self._all("texts").join(texts.select(*_KEYS), _KEYS, "left_semi").withColumn("copies", F.lit(2).cast("long"))
+            source = fresh.union(marked.join(copied.select(*_KEYS), _KEYS, "left_anti")).union(copied)
+        whole = found.join(twice, ["gram", "region"]).select("t", "u", "span")
+        if self.levels:
+            whole = whole.union(old.join(again, ["gram", "region"], "left_semi").select("t", "u", "span"))
+        first = F.shiftright("span", 23)
+        whole = whole.select("t", "u", first.alias("first"), (first + F.shiftright("span", 1).bitwiseAND(F.lit((1 << 22) - 1))).alias("last"))
+        marks, _ = self._written(self._searched(source, asked).union(whole), "marks")
+        self._push(path, entries_path, entries.count())
+        return source, marks
+
+    def _push(self, texts: str, entries: str, size: int) -> None:
+        """Make the batch a level, merge levels of equal size, and say so in family.json."""
+        self.levels.append({"texts": texts, "entries": entries, "size": size})
+        while len(self.levels) > 1 and self.levels[-2]["size"] < 2 * self.levels[-1]["size"]:
+            two = [self.levels.pop() for _ in range(2)]
+            a, b = [[self.spark.read.parquet(x[k]) for x in two] for k in ("texts", "entries")]
+            _, texts = self._written(a[0].union(a[1]), "texts")
+            both = b[0].union(b[1]).groupBy("gram", "region").agg(F.sum("n").alias("n"), F.min(F.struct("t", "u", "span")).alias("one"))
+            merged, entries = self._written(both.select("gram", "region", "n", "one.t", "one.u", "one.span").sortWithinPartitions("gram", "region"), "entries")
+            self.levels.append({"texts": texts, "entries": entries, "size": merged.count()})
+        publish(f"{self.folder}/family.json", json.dumps({"parameters": [self.length, self.short, self.gram], "levels": self.levels}).encode())
+
+    def _regions(self, texts: DataFrame) -> DataFrame:
+        length, short, gram = self.length, self.short, self.gram
+
+        def parts(data, offsets):
+            """(first row, data, offsets, place in the text, most) of runs of texts and of parts of long ones."""
+            for a, b in slices(offsets):
+                size = int(offsets[b] - offsets[a])
+                if b > a + 1 or size <= max(CHUNK_BYTES, PART):
+                    yield a, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], 0, None
+                else:
+                    for c in range(0, size, PART):
+                        part = data[offsets[a] + c : min(offsets[b], offsets[a] + c + PART + length)]
+                        yield a, part, np.array([0, len(part)]), c, PART
+
+        def find(batches):
+            for batch in batches:
+                t, u = batch.column("t").to_numpy(), batch.column("u").to_numpy()
+                for a, data, offsets, place, most in parts(*byte_view(text_column(batch, "text"))):
+                    text, first, last, periodic, g, r = regions(data, offsets, length, short, gram, most)
+                    span = (first - offsets[text] + place) << 23 | (last - first) << 1 | periodic
+                    yield pa.record_batch([pa.array(x) for x in (g.view(np.int64), r.view(np.int64), t[a + text], u[a + text], span)], ["gram", "region", "t", "u", "span"])
+
+        return texts.select("t", "u", "text").mapInArrow(find, "gram long, region long, t long, u long, span long")
+
+    def _searched(self, texts: DataFrame, asked: DataFrame) -> DataFrame:
+        """marks(t, u, first, last) from the suffixes of the asked regions."""
+        length, short = self.length, self.short
+        windows = asked.agg(F.coalesce(F.sum(F.shiftright("span", 1).bitwiseAND(F.lit((1 << 22) - 1)) + 1), F.lit(0))).first()[0]
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), ceil(windows / TASK))
+        lists = asked.groupBy(*_KEYS).agg(F.collect_list(F.struct("gram", "hot", "span")).alias("asked"))
+
+        def cut(batches):
+            for batch in batches:
+                data, offsets = byte_view(text_column(batch, "text"))
+                ts, us, lists = batch.column("t").to_pylist(), batch.column("u").to_pylist(), batch.column("asked")
+                flat, bound = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                part = (flat.field("gram").to_numpy() % parts).tolist()
+                hot = flat.field("hot").to_numpy(zero_copy_only=False).tolist()
+                first, width = (x.tolist() for x in _unpack(flat.field("span").to_numpy()))
+                rows, held, dealt = [], 0, []
+                for i, (t, u) in enumerate(zip(ts, us, strict=True)):
+                    text = data[offsets[i] : offsets[i + 1]]
+                    for q in range(bound[i], bound[i + 1]):
+                        piece = text[first[q] : first[q] + width[q] + length]
+                        if hot[q]:
+                            dealt.append((t, u, first[q], width[q] + 1, piece))
+                        else:
+                            rows.append((0, part[q], t, u, first[q], width[q] + 1, piece.tobytes(), None))
+                        held += len(piece) * (16 if hot[q] else 1)
+                        if held > 16 << 20:
+                            yield _batch([*rows, *prints(dealt)])
+                            rows, held, dealt = [], 0, []
+                if rows or dealt:
+                    yield _batch([*rows, *prints(dealt)])
+
+        def prints(dealt):
+            """Rows of fingerprints in both lengths, dealt by the shorter; equal ones of these pieces are marked here and sent once."""
+            if not dealt:
+                return []
+            owner, place, low, high = [], [], [], []
+            for k, (_, _, first, width, piece) in enumerate(dealt):
+                at = np.arange(width)
+                roll = Rolling(piece)
+                full = at + length <= len(piece)
+                low.append(roll.ranges(at, at + short))
+                high.append(np.where(full, roll.ranges(at, np.minimum(at + length, len(piece))), np.uint64(0)))
+                owner.append(np.full(width, k))
+                place.append(at + first)
+            owner, place, low, high = map(np.concatenate, (owner, place, low, high))
+            level = _twins(low, high)
+            rows = _marks(dealt, owner, place, level, parts)
+            _, one = np.unique(np.stack([low, high], 1), axis=0, return_index=True)
+            to = (low[one] % np.uint64(parts)).astype(np.int64)
+            by = np.lexsort((one, owner[one], to))
+            one, to = one[by], to[by]
+            cuts = np.flatnonzero(np.r_[True, (to[1:] != to[:-1]) | (owner[one[1:]] != owner[one[:-1]])])
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(one)], strict=True):
+                t, u, *_ = dealt[owner[one[a]]]
+                some = one[a:b]
+                rows.append((1, int(to[a]), t, u, 0, len(some), low[some].tobytes() + high[some].tobytes(), place[some].astype(np.int32).tobytes()))
+            return rows
+
+        def search(batches):
+            family = SuffixFamily(length, short)
+            keys: list[tuple] = []
+            owners, places, bodies, sizes, starts, size, held = [], [], [], [], [], 0, 0
+            low, high, low_owner, low_place = [], [], [], []
+
+            def step():
+                nonlocal bodies, sizes, starts, size, held
+                if size:
+                    family.add(np.concatenate(bodies), np.concatenate(starts), np.concatenate(sizes))
+                bodies, sizes, starts, size, held = [], [], [], 0, 0
+
+            for batch in batches:
+                kind, _, t, u, first, width = (c.to_pylist() for c in batch.columns[:6])
+                data, at = batch.column("data"), batch.column("at")
+                for i in range(batch.num_rows):
+                    if kind[i] == 2:
+                        yield _result([(t[i], u[i], first[i], width[i])])
+                        continue
+                    body = np.frombuffer(data[i].as_buffer(), np.uint8)
+                    keys.append((t[i], u[i]))
+                    if kind[i] == 1:
+                        both = body.view(np.uint64)
+                        low.append(both[: width[i]])
+                        high.append(both[width[i] :])
+                        low_owner.append(np.full(width[i], len(keys) - 1))
+                        low_place.append(np.frombuffer(at[i].as_buffer(), np.int32))
+                        continue
+                    for a in range(0, width[i], BATCH):
+                        n = min(BATCH, width[i] - a)
+                        part = body[a : a + n - 1 + length]
+                        where = np.arange(n)
+                        bodies.append(part)
+                        starts.append(where + held)
+                        sizes.append(np.minimum(length, len(part) - where))
+                        owners.append(np.full(n, len(keys) - 1, np.int32))
+                        places.append((where + (first[i] + a)).astype(np.int32))
+                        held, size = held + len(part), size + n
+                        if size >= BATCH:
+                            step()
+            step()
+            if owners:
+                yield from _results(keys, np.concatenate(owners), np.concatenate(places), family.found)
+            if low:
+                yield from _results(keys, np.concatenate(low_owner), np.concatenate(low_place), _twins(np.concatenate(low), np.concatenate(high)))
+
+        pieces = texts.join(lists, _KEYS).select("t", "u", "text", "asked").mapInArrow(cut, _PIECE)
+        # Each part is one task, whatever the hash of its number.
+        return pieces.repartitionById(parts, "part").mapInArrow(search, "t long, u long, first long, last long")
+
+
+def _twins(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """0, 1 or 2 for each suffix: not alone in its shorter, or longer (0: too short) fingerprint."""
+    level = np.zeros(len(low), np.uint8)
+    for prints, mark in ((low, 1), (high, 2)):
+        _, which, n = np.unique(prints, return_inverse=True, return_counts=True)
+        level[(n[which] > 1) & (prints != 0)] = mark
+    return level
+
+
+def _runs(owner: np.ndarray, place: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, first, last) of consecutive places of level 2, and the owners with any level."""
+    hit = np.flatnonzero(level == 2)
+    hit = hit[np.lexsort((place[hit], owner[hit]))]
+    o, p = owner[hit], place[hit]
+    new = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (p[1:] != p[:-1] + 1)]) if len(hit) else hit
+    end = np.r_[new[1:], len(hit)] - 1 if len(hit) else hit
+    return o[new], p[new], p[end], np.unique(owner[level > 0])
+
+
+def _marks(dealt: list[tuple], owner, place, level, parts: int) -> list[tuple]:
+    """Rows of kind 2, which the search hands on: first and last start in first and width."""
+    o, first, last, any_ = _runs(owner, place, level)
+    rows = [(2, k % parts, *dealt[k][:2], a, b, None, None) for k, a, b in zip(o.tolist(), first.tolist(), last.tolist(), strict=True)]
+    return rows + [(2, k % parts, *dealt[k][:2], -1, -1, None, None) for k in any_.tolist()]
+
+
+def _result(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["t", "u", "first", "last"])
+
+
+def _results(keys: list[tuple], owner, place, level):
+    o, first, last, any_ = _runs(owner, place, level)
+    key = np.array(keys, np.int64)
+    for who, a, b in ((o, first, last), (any_, np.full(len(any_), -1), np.full(len(any_), -1))):
+        if len(who):
+            yield pa.record_batch([pa.array(x.astype(np.int64)) for x in (key[who, 0], key[who, 1], a, b)], ["t", "u", "first", "last"])
+
+
+def removed(texts: DataFrame, marks: DataFrame, length: int = LENGTH, short: int = SHORT) -> DataFrame:
+    """(t, u, n_bytes, n_removed, spans, repeats, kept) for each of texts, from the marks of IndexFamily.add."""
 
     def take(batches):
+        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             data, offsets = byte_view(text_column(batch, "text"))
-            doc_ids, lists = batch.column("doc_id"), batch.column("spans").to_pylist()
-            out, removed, kept = [], [], []
+            copies, lists = batch.column("copies").to_pylist(), batch.column("marks").to_pylist()
+            out, gone, kept, repeats = [], [], [], []
             for i, found in enumerate(lists):
                 text = data[offsets[i] : offsets[i + 1]]
+                n = len(text)
+                if copies[i] > 1:
+                    found = [{"first": 0, "last": n}]
                 merged: list[list[int]] = []
-                for s, e in sorted((x["start"], x["end"]) for x in found or ()):
+                for s, e in sorted((x["first"], min(x["last"], n - length) + length) for x in found or () if 0 <= x["first"] <= n - length):
                     if merged and s <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], e)
                     else:
                         merged.append([s, e])
-                stay = np.ones(len(text), bool)
+                stay = np.ones(n, bool)
                 for s, e in merged:
                     stay[s:e] = False
                 out.append([{"start": s, "end": e} for s, e in merged])
-                removed.append(sum(e - s for s, e in merged))
+                gone.append(sum(e - s for s, e in merged))
                 kept.append(text[stay].tobytes())
-            span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.record_batch([doc_ids, pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(out, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+                repeats.append(bool(found))
+            yield pa.record_batch([batch.column("t"), batch.column("u"), pa.array(np.diff(offsets)), pa.array(gone, pa.int64()), pa.array(out, span), pa.array(repeats), pa.array(kept, pa.binary())], ["t", "u", "n_bytes", "n_removed", "spans", "repeats", "kept"])
 
-    both = rows.join(spans.hint("merge"), ["k", "t"], "left").select("doc_id", "text", "spans")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return both.mapInArrow(take, f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
+    lists = marks.groupBy(*_KEYS).agg(F.collect_set(F.struct("first", "last")).alias("marks"))
+    return texts.join(lists, _KEYS, "left").select("t", "u", "copies", "text", "marks").mapInArrow(take, "t long, u long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, repeats boolean, kept binary")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, short: int = SHORT, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, spans, repeats, kept_sha256, kept) for each row of docs(doc_id, text).
+
+    Removed is each byte of the UTF-8 text covered by a `length`-byte string that also starts anywhere else in the
+    input, in the same text included. spans are the maximal removed byte ranges, kept the remaining bytes. repeats says
+    that the text holds a string of `short` bytes or more that also starts anywhere else. A null or empty text has 0
+    bytes and nothing kept. Repeated rows are different places, so long ones are removed whole; ids may be null or
+    repeat. Other columns are ignored; an empty table gives no rows.
+    """
+    texts, marks = IndexFamily(docs.sparkSession, None, length, short, gram, hot).add(docs)
+    done = removed(texts, marks, length, short).withColumn("kept_sha256", F.sha2("kept", 256))
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), "text").alias("u"), F.octet_length("text").cast("long").alias("n"), F.when(F.octet_length("text") < short, F.col("text").cast("binary")).alias("brief"))
+    both = rows.join(done, _KEYS, "left")
+    small = F.col("brief").isNotNull()
+    return both.select(
+        "doc_id",
+        F.col("n").alias("n_bytes"),
+        F.when(small, F.lit(0)).otherwise(F.col("n_removed")).cast("long").alias("n_removed"),
+        F.when(small, F.array().cast("array<struct<start:int,end:int>>")).otherwise(F.col("spans")).alias("spans"),
+        F.when(small, F.lit(False)).otherwise(F.col("repeats")).alias("repeats"),
+        F.when(small, F.sha2("brief", 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
+        F.when(small, F.col("brief")).otherwise(F.col("kept")).alias("kept"),
+    )
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """All of documents, strings of 400 bytes."""
+    """All of documents, strings of 400 bytes; repeats also names documents with repeated strings of 300 bytes."""
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "repeats")
