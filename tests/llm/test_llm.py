@@ -457,13 +457,11 @@ def repeating_texts(seed, n):
     return [*texts, texts[0], None, "", "a" * 100, passage + passage, "b" * 39, "xyz" * 200, "zxy" * 30, "lone " + "xyzw" * 12]
 
 
-@pytest.mark.parametrize(("hot", "batch", "part"), [(100_000, 1 << 16, 1 << 20), (1, 1 << 16, 1 << 20), (100_000, 64, 1 << 20), (1, 64, 50), (100_000, 1 << 16, 37)])
-def test_repeats_against_all_strings(spark, monkeypatch, hot, batch, part):
-    for name, value in (("BATCH", batch), ("PART", part), ("CHUNK_BYTES", min(part, 1 << 20))):
-        monkeypatch.setattr(suffix_dedup, name, value)
+@pytest.mark.parametrize("options", [{}, {"hot": 1}, {"batch": 64}, {"hot": 1, "part": 50}, {"part": 37}])
+def test_repeats_against_all_strings(spark, options):
     texts = repeating_texts(6, 60)
     d = spark.createDataFrame([(k % 50 if k != 7 else None, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    got = sorted(map(of_repeats, suffix_dedup.remove_repeats(d, 40, 30, 8, hot).collect()))
+    got = sorted(map(of_repeats, suffix_dedup.remove_repeats(d, 40, 30, 8, **options).collect()))
     assert got == brute_repeats(texts, 40, 30)
 
 
@@ -501,25 +499,34 @@ def test_batches_added_one_after_another_to_a_kept_index(spark):
 
 def test_a_long_run_of_one_byte_is_one_region_and_goes():
     data = np.full(300_000, 97, np.uint8)
-    _, first, last, periodic, _, _ = suffix_dedup.regions(data, np.array([0, len(data)]), 400, 300, 32)
+    _, first, last, _, periodic, _, _ = suffix_dedup.regions(data, np.array([0, len(data)]), 400, 300, 32)
     assert first.tolist() == [0] and last.tolist() == [len(data) - 300] and periodic.all()
-
-
-def test_suffix_arrays_are_in_byte_order_and_levels_geometric():
-    rng, family, texts = np.random.default_rng(0), suffix_dedup.SuffixFamily(12, 8), []
-    for n in rng.integers(12, 60, 40):
-        body = rng.integers(0, 3, n).astype(np.uint8)
-        at = np.arange(n - 8 + 1)
-        family.add(body, at, np.minimum(12, n - at))
-        texts += [body[i : i + 12].tobytes() for i in at]
-        sizes = [len(a) for a, _ in family.levels]
-        assert all(x >= 2 * y for x, y in zip(sizes, sizes[1:], strict=False))
-        for rows, number in family.levels:
-            order = [texts[k] for k in number.tolist()]
-            assert order == sorted(order) and [r[: len(t)].tobytes() for r, t in zip(rows, order, strict=True)] == order
-    full, brief = Counter(texts), Counter(t[:8] for t in texts)
-    want = [2 if len(t) == 12 and full[t] > 1 else 1 if brief[t[:8]] > 1 else 0 for t in texts]
-    assert family.found.tolist() == want
+    kept = suffix_dedup.Regions(400, 300, 32)
+    kept.add(1, 5, 6, 0, 0, len(data) - 300, True, data.tobytes())
+    kept.search()
+    gone = np.zeros(len(data), bool)
+    for _, a, b in kept.marks:
+        if a >= 0:
+            gone[a : b + 400] = True
+    assert gone.all()
+
+
+@pytest.mark.parametrize("m", [2, 3, 10, 90, 200])
+def test_extensions_dominate_those_of_all_pairs(m):
+    rng = random.Random(m)
+    ahead, behind = ([bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 9))) for _ in range(m)] for _ in range(2))
+    common = lambda x, y: next((k for k, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+    order, back = (sorted(range(m), key=x.__getitem__) for x in (ahead, behind))
+    lcp = [[common(x[i], x[j]) for i, j in itertools.pairwise(o)] for x, o in ((ahead, order), (behind, back))]
+    best = [set() for _ in range(m)]
+    for i, j, left, right in suffix_dedup.extensions(order, lcp[0], back, lcp[1]):
+        assert i != j and left == common(behind[i], behind[j]) and right <= common(ahead[i], ahead[j])
+        for k in (i, j):
+            best[k].add((left, right))
+    for i in range(m):
+        for j in range(m):
+            want = (common(behind[i], behind[j]), common(ahead[i], ahead[j]))
+            assert i == j or any(a >= want[0] and b >= want[1] for a, b in best[i])
 
 
 # 10

@@ -8,21 +8,23 @@
 3. A new batch is merge-scanned against every level on the gram. A region that occurs twice repeats whole and needs no
    search. Of the others only those whose gram has more than one distinct region, or that are periodic, are searched,
    one copy of each. Levels of equal size merge, so an entry is rewritten a logarithmic number of times.
-4. The suffixes (windows, cut at `length` bytes) of these regions are dealt by gram. A task takes them in batches: a
-   batch gets its suffix array in byte order, the longest common prefixes of neighbours mark repeats, and it is
-   merge-scanned against the levels of the task's own family and becomes a level in it; equal-sized levels merge.
-   Suffixes of a gram with very many regions are dealt by fingerprint instead, copies within a task combined first.
-5. Bytes of windows marked to `length` bytes are removed; a mark to `short` bytes is reported only.
+4. The asked regions are dealt by gram. The regions of a gram, which all hold it at a known place, get two suffix arrays
+   in byte order with their longest common prefixes: one of what follows from the gram on, one of what precedes it read
+   backwards. Walking the first array's prefix intervals from deep to shallow while keeping each interval's members in
+   the order of the second finds, for every region, all maximal pairs of common extensions; a window within one repeats.
+   A periodic region is first split at its anchors, and equal splits are one. Windows of a gram with very many regions
+   are dealt by fingerprint instead, copies within a task combined first.
+5. Bytes of windows that repeat in `length` bytes are removed; a repeat of `short` bytes is reported only.
 """
 
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, insort
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +32,13 @@ from .common import CHUNK_BYTES, Rolling, byte_view, mix, new_folder, open_fs, p
 
 #: Bytes of a removed string; bytes of a string that is reported (nearly all passages of over 50 words are as long); of a gram.
 LENGTH, SHORT, GRAM = 400, 300, 32
-#: Windows of one text that one call works on; longer texts are worked on in overlapping parts.
+#: Bytes of one text that one call works on, about; longer texts are worked on in overlapping parts.
 PART = 1 << 20
-#: Suffixes in one batch and, about, in one task; regions of a gram beyond which its suffixes are dealt by fingerprint.
-BATCH, TASK, HOT = 1 << 16, 1 << 18, 100_000
+#: Bytes of regions searched at a time; windows in one task, about; regions of a gram beyond which its windows are dealt by fingerprint.
+BATCH, TASK, HOT = 8 << 20, 4 << 20, 100_000
+#: A region in one number: first << 32 | anchor - first << 23 | last - first << 1 | periodic.
+_FIRST, _OFFSET, _WIDTH = 32, 23, 1
+_WIDTHS, _OFFSETS = (1 << 22) - 1, (1 << 9) - 1
 _PLACE = np.uint64((1 << 30) - 1)
 
 
@@ -48,101 +53,208 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(after[: n - w + 1], before[w - 1 : n])
 
 
-def regions(data: np.ndarray, offsets: np.ndarray, length: int, short: int, gram: int, most: int | None = None):
-    """(text, first, last, periodic, gram hash, region hash) of all regions of windows that start before `most`."""
+def regions(data: np.ndarray, offsets: np.ndarray, length: int, short: int, gram: int, own: tuple[int, int] | None = None):
+    """(text, first, last, anchor, periodic, gram hash, region hash) of all regions of windows, or of those with an anchor in the range `own`."""
     n = len(data)
     if n < short:
         z = np.zeros(0, np.int64)
-        return z, z, z, z.astype(bool), z.astype(np.uint64), z.astype(np.uint64)
+        return z, z, z, z, z.astype(bool), z.astype(np.uint64), z.astype(np.uint64)
     roll = Rolling(data)
     at = np.arange(n - gram + 1)
     hashes = roll.ranges(at, at + gram)
     anchor = (_sliding_min(hashes & ~_PLACE | at.astype(np.uint64), short - gram + 1) & _PLACE).astype(np.int64)
     end = np.repeat(offsets[1:], np.diff(offsets))
     start = np.flatnonzero(at[: len(anchor)] + short <= end[: len(anchor)])
-    if most is not None:
-        start = start[start < most]
     anchor = anchor[start]
-    own = hashes[anchor]
-    new = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (start[1:] != start[:-1] + 1)]) if len(start) else start
+    if own is not None:
+        mine = (anchor >= own[0]) & (anchor < own[1])
+        start, anchor = start[mine], anchor[mine]
+    key = hashes[anchor]
+    new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (start[1:] != start[:-1] + 1)]) if len(start) else start
     stop = np.r_[new[1:], len(start)] - 1 if len(start) else start
     first, last = start[new], start[stop]
     until = np.minimum(last + length, end[first])
     body = roll.ranges(first, until)
     body = mix(body ^ ((until - first).astype(np.uint64) << np.uint64(32)) ^ (last - first).astype(np.uint64))
-    return np.searchsorted(offsets, first, "right") - 1, first, last, anchor[new] != anchor[stop], own[new], body
+    return np.searchsorted(offsets, first, "right") - 1, first, last, anchor[new], anchor[new] != anchor[stop], key[new], body
 
 
-class SuffixFamily:
-    """Levels of suffix arrays in byte order. Sizes at least double from level to level; equal suffixes are kept once.
+def _common(roll: Rolling, x: np.ndarray, y: np.ndarray, most: np.ndarray, back: bool) -> np.ndarray:
+    """Length of the longest common prefix (back: suffix) of what starts (ends) at x and y, at most `most`, by bisection on hashes."""
+    low, high = np.zeros(len(x), np.int64), most.copy()
+    while (low < high).any():
+        mid = (low + high + 1) // 2
+        if back:
+            same = roll.ranges(x - mid, x) == roll.ranges(y - mid, y)
+        else:
+            same = roll.ranges(x, x + mid) == roll.ranges(y, y + mid)
+        low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+    return low
 
-    A suffix is cut at `length` bytes or at its text's end. found[n] is 0, 1 or 2: nothing equal so far, another suffix
-    equal in `short` bytes, or in `length` bytes.
-    """
 
-    def __init__(self, length: int, short: int):
-        self.length, self.short = length, short
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # rows in order, suffix numbers
-        self.found = np.zeros(0, np.uint8)
-
-    def _rows(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """One row a suffix: its bytes, zeros behind them, and its size, so that rows order and tell apart as suffixes do."""
-        place = np.arange(self.length)
-        rows = np.zeros((len(start), self.length + 4), np.uint8)
-        for a in range(0, len(start), 8192):
-            at, some = start[a : a + 8192, None] + place, size[a : a + 8192, None]
-            rows[a : a + 8192, : self.length] = np.where(place < some, data[np.minimum(at, len(data) - 1)], 0)
-        rows[:, self.length :] = size.astype(">u4").view(np.uint8).reshape(-1, 4)
-        return rows
-
-    def _order(self, rows: np.ndarray) -> np.ndarray:
-        width = self.length + 4
-        return pc.sort_indices(pa.Array.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows)])).to_numpy()
-
-    def _scan(self, rows: np.ndarray, number: np.ndarray) -> None:
-        """Mark neighbours in order by their longest common prefix."""
-        size = np.ascontiguousarray(rows[:, self.length :]).view(">u4").ravel().astype(np.int64)
-        for a in range(0, len(rows) - 1, 8192):
-            b = min(a + 8192, len(rows) - 1)
-            unlike = rows[a + 1 : b + 1, : self.length] != rows[a:b, : self.length]
-            common = np.where(unlike.any(1), unlike.argmax(1), self.length)
-            common = np.minimum(common, np.minimum(size[a:b], size[a + 1 : b + 1]))
-            level = (common >= self.short).astype(np.uint8) + (common >= self.length)
-            for side in (number[a:b], number[a + 1 : b + 1]):
-                self.found[side] = np.maximum(self.found[side], level)
-
-    def add(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        """Number the suffixes data[start:start + size] of a batch, mark what they share with those known, and add them."""
-        base = len(self.found)
-        self.found = np.r_[self.found, np.zeros(len(start), np.uint8)]
-        prints = mix(Rolling(data).ranges(start, start + size) ^ size.astype(np.uint64))
-        by = np.argsort(prints, kind="stable")
-        new = np.r_[True, prints[by[1:]] != prints[by[:-1]]] if len(by) else np.zeros(0, bool)
-        often = np.diff(np.r_[np.flatnonzero(new), len(by)]) > 1
-        twin = by[often[np.cumsum(new) - 1]]
-        self.found[base + twin] = 1 + (size[twin] >= self.length)
-        one = by[new]
-        rows = self._rows(data, start[one], size[one])
-        order = self._order(rows)
-        rows, number = rows[order], one[order] + base
-        self._scan(rows, number)
-        for old, numbers in self.levels:
-            both, who = np.concatenate([old, rows]), np.concatenate([numbers, number])
-            order = self._order(both)
-            self._scan(both[order], who[order])
-        self.levels.append((rows, number))
-        while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
-            (a, x), (b, y) = self.levels.pop(), self.levels.pop()
-            both, who = np.concatenate([b, a]), np.concatenate([y, x])
-            order = self._order(both)
-            both, who = both[order], who[order]
-            keep = np.r_[True, (both[1:] != both[:-1]).any(1)]  # equal ones have been marked
-            self.levels.append((both[keep], who[keep]))
+def _least(values: list[int]):
+    """A function (a, b) -> min(values[a:b])."""
+    if len(values) < 64:
+        return lambda a, b: min(values[a:b])
+    table = [np.array(values)]
+    while 2 << len(table) - 1 <= len(values):
+        half = 1 << len(table) - 1
+        table.append(np.minimum(table[-1][:-half], table[-1][half:]))
+
+    def query(a: int, b: int) -> int:
+        k = (b - a).bit_length() - 1
+        return int(min(table[k][a], table[k][b - (1 << k)]))
+
+    return query
+
+
+def extensions(order: list[int], forward: list[int], back_order: list[int], backward: list[int]):
+    """Yield (i, j, l, r): pairs of members with l bytes common before and r from the gram on.
+
+    order is the suffix array of what follows, forward the common prefixes of its neighbours; back_order and backward
+    are those of what precedes. For every pair (i, j) some pair (i, k) with no smaller l and r is yielded, and some (j, k).
+    """
+    m = len(order)
+    if m == 2:
+        yield order[0], order[1], backward[0], forward[0]
+        return
+    rank = [0] * m
+    for k, i in enumerate(back_order):
+        rank[i] = k
+    least = _least(backward)
+    up = list(range(m))
+    members: list[list[int] | None] = [[rank[i]] for i in order]
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for k in sorted(range(m - 1), key=lambda k: -forward[k]):
+        a, b = find(k), find(k + 1)
+        small, large = members[a], members[b]
+        if len(small) > len(large):
+            small, large = large, small
+        for x in small:
+            p = bisect_left(large, x)
+            if p:
+                yield back_order[x], back_order[large[p - 1]], least(large[p - 1], x), forward[k]
+            if p < len(large):
+                yield back_order[x], back_order[large[p]], least(x, large[p]), forward[k]
+        if len(small) < 8:
+            for x in small:
+                insort(large, x)
+        else:
+            large += small
+            large.sort()
+        up[b], members[a], members[b] = a, large, None
+
+
+class Regions:
+    """Regions of some grams: their bytes and where they come from; search() finds the windows that repeat among them."""
+
+    def __init__(self, length: int, short: int, gram: int):
+        self.length, self.short, self.gram = length, short, gram
+        self.groups: list[list[int]] = []
+        self.bodies: list[bytes] = []
+        self.at: list[tuple[int, int, int, int]] = []  # text number, first, anchor - first, last - first
+        self.texts: list[tuple[int, int]] = []
+        self.marks: list[tuple[int, int, int]] = []  # text number, first, last; first -1: repeats in `short` bytes
+        self.held, self.now = 0, None
+
+    def add(self, key: int, t: int, u: int, first: int, offset: int, width: int, periodic: bool, body: bytes) -> None:
+        """Add a region of a gram; regions of one gram follow one another."""
+        if key != self.now:
+            self.groups.append([])
+            self.now = key
+        self.texts.append((t, u))
+        if periodic:
+            self._split(len(self.texts) - 1, first, width, body)
+        else:
+            self._put(len(self.texts) - 1, first, offset, width, body)
+
+    def _put(self, text: int, first: int, offset: int, width: int, body: bytes) -> None:
+        self.groups[-1].append(len(self.bodies))
+        self.bodies.append(body)
+        self.at.append((text, first, offset, width))
+        self.held += len(body) + 200
+
+    def _split(self, text: int, first: int, width: int, body: bytes) -> None:
+        data = np.frombuffer(body, np.uint8)
+        roll = Rolling(data)
+        at = np.arange(len(data) - self.gram + 1)
+        anchor = (_sliding_min(roll.ranges(at, at + self.gram) & ~_PLACE | at.astype(np.uint64), self.short - self.gram + 1) & _PLACE).astype(np.int64)[: width + 1]
+        new = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+        last = np.r_[new[1:], width + 1] - 1
+        until = np.minimum(last + self.length, len(data))
+        prints = mix(roll.ranges(new, until) ^ ((until - new).astype(np.uint64) << np.uint64(32)) ^ (last - new).astype(np.uint64) ^ ((anchor[new] - new).astype(np.uint64) << np.uint64(50)))
+        _, one, which, n = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
+        for k in np.flatnonzero(n[which] > 1).tolist():
+            self._mark(text, first + int(new[k]), first + int(min(last[k], until[k] - self.length)))
+        for k in np.sort(one).tolist():
+            self._put(text, first + int(new[k]), int(anchor[new[k]] - new[k]), int(last[k] - new[k]), body[new[k] : until[k]])
+
+    def _mark(self, text: int, first: int, last: int) -> None:
+        self.marks.append((text, -1, -1))
+        if first <= last:
+            self.marks.append((text, first, last))
+
+    def search(self) -> None:
+        """Mark what repeats among the regions added since the last search, and forget them."""
+        groups = [g for g in self.groups if len(g) > 1]
+        if groups:
+            base = np.r_[0, np.cumsum([len(b) for b in self.bodies])]
+            roll = Rolling(np.frombuffer(b"".join(self.bodies), np.uint8))
+            offset = np.array([x[2] for x in self.at])
+            anchor, size = base[:-1] + offset, np.diff(base)
+            ahead = [[sorted(range(len(g)), key=[self.bodies[i][self.at[i][2] :] for i in g].__getitem__) for g in groups]]
+            ahead.append([sorted(range(len(g)), key=[self.bodies[i][: self.at[i][2]][::-1] for i in g].__getitem__) for g in groups])
+            common = []
+            for orders, back in zip(ahead, (False, True), strict=True):
+                x = np.array([g[a] for g, o in zip(groups, orders, strict=True) for a in o[:-1]])
+                y = np.array([g[a] for g, o in zip(groups, orders, strict=True) for a in o[1:]])
+                most = np.minimum(offset[x], offset[y]) if back else np.minimum(size[x] - offset[x], size[y] - offset[y])
+                common.append(_common(roll, anchor[x], anchor[y], most, back).tolist())
+            a = 0
+            for g, order, back_order in zip(groups, *ahead, strict=True):
+                b = a + len(g) - 1
+                self._group(g, extensions(order, common[0][a:b], back_order, common[1][a:b]))
+                a = b
+        self.groups, self.bodies, self.at, self.held, self.now = [], [], [], 0, None
+
+    def _group(self, group: list[int], pairs) -> None:
+        found: dict[int, set] = {}
+        for i, j, before, after in pairs:
+            if before + after < self.short:
+                continue
+            for k in (i, j):
+                text, first, offset, width = self.at[group[k]]
+                low = offset - before  # window starts, from the region's first
+                if low > width:
+                    continue
+                mine = found.setdefault(group[k], set())
+                mine.add((-1, -1))
+                if (high := min(width, offset + after - self.length)) >= low:
+                    mine.add((first + low, first + high))
+        for k, mine in found.items():
+            self.marks += [(self.at[k][0], a, b) for a, b in _joined(mine)]
+
+
+def _joined(ranges: set) -> list[tuple[int, int]]:
+    """Ranges (first, last) in order, touching ones as one; (-1, -1) stays."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and out[-1][0] >= 0 and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
 
 
 _KEYS = ["t", "u"]
-_PIECE = "kind int, part int, t long, u long, first int, width int, data binary, at binary"
-_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+_PIECE = "kind int, part int, gram long, t long, u long, span long, data binary, at binary"
+_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 _NAMES = [x.split()[0] for x in _PIECE.split(", ")]
 
 
@@ -150,9 +262,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], _NAMES)
 
 
-def _unpack(span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first, width) of a packed region: first << 23 | width << 1 | periodic."""
-    return span >> 23, span >> 1 & (1 << 22) - 1
+def _unpack(span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, anchor - first, last - first, periodic) of packed regions."""
+    return span >> _FIRST, span >> _OFFSET & _OFFSETS, span >> _WIDTH & _WIDTHS, (span & 1).astype(bool)
 
 
 class IndexFamily:
@@ -163,7 +275,8 @@ class IndexFamily:
     existing one is opened again, in this or a later session. One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, length: int = LENGTH, short: int = SHORT, gram: int = GRAM, hot: int = HOT):
+    def __init__(self, spark: SparkSession, folder: str | None = None, length: int = LENGTH, short: int = SHORT, gram: int = GRAM, hot: int = HOT, part: int = PART, batch: int = BATCH):
+        self.part, self.batch = part, batch
         self.spark, self.folder = spark, folder or new_folder(spark, "suffix-family")
         self.length, self.short, self.gram, self.hot = length, short, gram, hot
         fs, path = open_fs(f"{self.folder}/family.json")
@@ -223,8 +336,8 @@ class IndexFamily:
         whole = found.join(twice, ["gram", "region"]).select("t", "u", "span")
         if self.levels:
             whole = whole.union(old.join(again, ["gram", "region"], "left_semi").select("t", "u", "span"))
-        first = F.shiftright("span", 23)
-        whole = whole.select("t", "u", first.alias("first"), (first + F.shiftright("span", 1).bitwiseAND(F.lit((1 << 22) - 1))).alias("last"))
+        first = F.shiftright("span", _FIRST)
+        whole = whole.select("t", "u", first.alias("first"), (first + _width(F.col("span"))).alias("last"))
         marks, _ = self._written(self._searched(source, asked).union(whole), "marks")
         self._push(path, entries_path, entries.count())
         return source, marks
@@ -242,33 +355,35 @@ class IndexFamily:
         publish(f"{self.folder}/family.json", json.dumps({"parameters": [self.length, self.short, self.gram], "levels": self.levels}).encode())
 
     def _regions(self, texts: DataFrame) -> DataFrame:
-        length, short, gram = self.length, self.short, self.gram
+        length, short, gram, part = self.length, self.short, self.gram, self.part
 
         def parts(data, offsets):
-            """(first row, data, offsets, place in the text, most) of runs of texts and of parts of long ones."""
-            for a, b in slices(offsets):
+            """(first row, data, offsets, place in the text, own anchors) of runs of texts and of parts of long ones."""
+            for a, b in slices(offsets, min(CHUNK_BYTES, 2 * part)):
                 size = int(offsets[b] - offsets[a])
-                if b > a + 1 or size <= max(CHUNK_BYTES, PART):
+                if b > a + 1 or size <= 2 * part:
                     yield a, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], 0, None
                 else:
-                    for c in range(0, size, PART):
-                        part = data[offsets[a] + c : min(offsets[b], offsets[a] + c + PART + length)]
-                        yield a, part, np.array([0, len(part)]), c, PART
+                    # Parts are told apart by anchors, so that no region but a periodic one is cut.
+                    for c in range(0, size, part):
+                        start = max(0, c - short + gram)
+                        some = data[offsets[a] + start : min(offsets[b], offsets[a] + c + part + length)]
+                        yield a, some, np.array([0, len(some)]), start, (c - start, c - start + part)
 
         def find(batches):
             for batch in batches:
                 t, u = batch.column("t").to_numpy(), batch.column("u").to_numpy()
-                for a, data, offsets, place, most in parts(*byte_view(text_column(batch, "text"))):
-                    text, first, last, periodic, g, r = regions(data, offsets, length, short, gram, most)
-                    span = (first - offsets[text] + place) << 23 | (last - first) << 1 | periodic
+                for a, data, offsets, place, own in parts(*byte_view(text_column(batch, "text"))):
+                    text, first, last, anchor, periodic, g, r = regions(data, offsets, length, short, gram, own)
+                    span = (first - offsets[text] + place) << _FIRST | (anchor - first) << _OFFSET | (last - first) << _WIDTH | periodic
                     yield pa.record_batch([pa.array(x) for x in (g.view(np.int64), r.view(np.int64), t[a + text], u[a + text], span)], ["gram", "region", "t", "u", "span"])
 
         return texts.select("t", "u", "text").mapInArrow(find, "gram long, region long, t long, u long, span long")
 
     def _searched(self, texts: DataFrame, asked: DataFrame) -> DataFrame:
         """marks(t, u, first, last) from the suffixes of the asked regions."""
-        length, short = self.length, self.short
-        windows = asked.agg(F.coalesce(F.sum(F.shiftright("span", 1).bitwiseAND(F.lit((1 << 22) - 1)) + 1), F.lit(0))).first()[0]
+        length, short, gram, limit = self.length, self.short, self.gram, self.batch
+        windows = asked.agg(F.coalesce(F.sum(_width(F.col("span")) + 1), F.lit(0))).first()[0]
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), ceil(windows / TASK))
         lists = asked.groupBy(*_KEYS).agg(F.collect_list(F.struct("gram", "hot", "span")).alias("asked"))
 
@@ -277,9 +392,11 @@ class IndexFamily:
                 data, offsets = byte_view(text_column(batch, "text"))
                 ts, us, lists = batch.column("t").to_pylist(), batch.column("u").to_pylist(), batch.column("asked")
                 flat, bound = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                part = (flat.field("gram").to_numpy() % parts).tolist()
+                grams, spans = flat.field("gram"), flat.field("span")
+                part = (grams.to_numpy() % parts).tolist()
                 hot = flat.field("hot").to_numpy(zero_copy_only=False).tolist()
-                first, width = (x.tolist() for x in _unpack(flat.field("span").to_numpy()))
+                first, _, width, _ = (x.tolist() for x in _unpack(spans.to_numpy()))
+                grams, spans = grams.to_pylist(), spans.to_pylist()
                 rows, held, dealt = [], 0, []
                 for i, (t, u) in enumerate(zip(ts, us, strict=True)):
                     text = data[offsets[i] : offsets[i + 1]]
@@ -288,7 +405,7 @@ class IndexFamily:
                         if hot[q]:
                             dealt.append((t, u, first[q], width[q] + 1, piece))
                         else:
-                            rows.append((0, part[q], t, u, first[q], width[q] + 1, piece.tobytes(), None))
+                            rows.append((0, part[q], grams[q], t, u, spans[q], piece.tobytes(), None))
                         held += len(piece) * (16 if hot[q] else 1)
                         if held > 16 << 20:
                             yield _batch([*rows, *prints(dealt)])
@@ -320,58 +437,46 @@ class IndexFamily:
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(one)], strict=True):
                 t, u, *_ = dealt[owner[one[a]]]
                 some = one[a:b]
-                rows.append((1, int(to[a]), t, u, 0, len(some), low[some].tobytes() + high[some].tobytes(), place[some].astype(np.int32).tobytes()))
+                rows.append((1, int(to[a]), 0, t, u, len(some), low[some].tobytes() + high[some].tobytes(), place[some].astype(np.int32).tobytes()))
             return rows
 
         def search(batches):
-            family = SuffixFamily(length, short)
-            keys: list[tuple] = []
-            owners, places, bodies, sizes, starts, size, held = [], [], [], [], [], 0, 0
-            low, high, low_owner, low_place = [], [], [], []
-
-            def step():
-                nonlocal bodies, sizes, starts, size, held
-                if size:
-                    family.add(np.concatenate(bodies), np.concatenate(starts), np.concatenate(sizes))
-                bodies, sizes, starts, size, held = [], [], [], 0, 0
-
+            kept, keys = Regions(length, short, gram), []
+            low, high, owner, place = [], [], [], []
             for batch in batches:
-                kind, _, t, u, first, width = (c.to_pylist() for c in batch.columns[:6])
+                kind, _, grams, t, u, span = (c.to_pylist() for c in batch.columns[:6])
+                first, offset, width, periodic = (x.tolist() for x in _unpack(batch.column("span").to_numpy()))
                 data, at = batch.column("data"), batch.column("at")
                 for i in range(batch.num_rows):
-                    if kind[i] == 2:
-                        yield _result([(t[i], u[i], first[i], width[i])])
-                        continue
-                    body = np.frombuffer(data[i].as_buffer(), np.uint8)
-                    keys.append((t[i], u[i]))
-                    if kind[i] == 1:
-                        both = body.view(np.uint64)
-                        low.append(both[: width[i]])
-                        high.append(both[width[i] :])
-                        low_owner.append(np.full(width[i], len(keys) - 1))
-                        low_place.append(np.frombuffer(at[i].as_buffer(), np.int32))
-                        continue
-                    for a in range(0, width[i], BATCH):
-                        n = min(BATCH, width[i] - a)
-                        part = body[a : a + n - 1 + length]
-                        where = np.arange(n)
-                        bodies.append(part)
-                        starts.append(where + held)
-                        sizes.append(np.minimum(length, len(part) - where))
-                        owners.append(np.full(n, len(keys) - 1, np.int32))
-                        places.append((where + (first[i] + a)).astype(np.int32))
-                        held, size = held + len(part), size + n
-                        if size >= BATCH:
-                            step()
-            step()
-            if owners:
-                yield from _results(keys, np.concatenate(owners), np.concatenate(places), family.found)
+                    if kind[i] == 0:
+                        if kept.held > limit and grams[i] != kept.now:
+                            kept.search()
+                            yield from _results(kept.texts, kept.marks)
+                            kept.texts, kept.marks = [], []
+                        kept.add(grams[i], t[i], u[i], first[i], offset[i], width[i], periodic[i], data[i].as_py())
+                    elif kind[i] == 1:
+                        both = np.frombuffer(data[i].as_buffer(), np.uint64)
+                        low.append(both[: span[i]])
+                        high.append(both[span[i] :])
+                        owner.append(np.full(span[i], len(keys)))
+                        place.append(np.frombuffer(at[i].as_buffer(), np.int32).astype(np.int64))
+                        keys.append((t[i], u[i]))
+                    else:
+                        yield from _results([(t[i], u[i])], [(0, *_range(span[i]))])
+            kept.search()
+            yield from _results(kept.texts, kept.marks)
             if low:
-                yield from _results(keys, np.concatenate(low_owner), np.concatenate(low_place), _twins(np.concatenate(low), np.concatenate(high)))
+                low, high, owner, place = map(np.concatenate, (low, high, owner, place))
+                yield from _results(keys, _runs(owner, place, _twins(low, high)))
 
         pieces = texts.join(lists, _KEYS).select("t", "u", "text", "asked").mapInArrow(cut, _PIECE)
         # Each part is one task, whatever the hash of its number.
-        return pieces.repartitionById(parts, "part").mapInArrow(search, "t long, u long, first long, last long")
+        dealt = pieces.repartitionById(parts, "part").sortWithinPartitions("kind", "gram")
+        return dealt.mapInArrow(search, "t long, u long, first long, last long")
+
+
+def _width(span):
+    return F.shiftright(span, _WIDTH).bitwiseAND(F.lit(_WIDTHS))
 
 
 def _twins(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -383,33 +488,31 @@ def _twins(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return level
 
 
-def _runs(owner: np.ndarray, place: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, first, last) of consecutive places of level 2, and the owners with any level."""
+def _runs(owner: np.ndarray, place: np.ndarray, level: np.ndarray) -> list[tuple[int, int, int]]:
+    """(owner, first, last) of consecutive places of level 2, and (owner, -1, -1) for owners of any level."""
     hit = np.flatnonzero(level == 2)
     hit = hit[np.lexsort((place[hit], owner[hit]))]
     o, p = owner[hit], place[hit]
     new = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (p[1:] != p[:-1] + 1)]) if len(hit) else hit
     end = np.r_[new[1:], len(hit)] - 1 if len(hit) else hit
-    return o[new], p[new], p[end], np.unique(owner[level > 0])
+    return [*zip(o[new].tolist(), p[new].tolist(), p[end].tolist(), strict=True), *((k, -1, -1) for k in np.unique(owner[level > 0]).tolist())]
 
 
-def _marks(dealt: list[tuple], owner, place, level, parts: int) -> list[tuple]:
-    """Rows of kind 2, which the search hands on: first and last start in first and width."""
-    o, first, last, any_ = _runs(owner, place, level)
-    rows = [(2, k % parts, *dealt[k][:2], a, b, None, None) for k, a, b in zip(o.tolist(), first.tolist(), last.tolist(), strict=True)]
-    return rows + [(2, k % parts, *dealt[k][:2], -1, -1, None, None) for k in any_.tolist()]
+def _range(x: int) -> tuple[int, int]:
+    """A mark (first, last) handed on in one number; -1 for (-1, -1)."""
+    return (x >> 32, x & (1 << 32) - 1) if x >= 0 else (-1, -1)
 
 
-def _result(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["t", "u", "first", "last"])
+def _marks(dealt: list[tuple], owner, place, level, parts: int) -> list[tuple]:
+    """Rows of kind 2, which the search hands on."""
+    return [(2, k % parts, 0, *dealt[k][:2], -1 if a < 0 else a << 32 | b, None, None) for k, a, b in _runs(owner, place, level)]
 
 
-def _results(keys: list[tuple], owner, place, level):
-    o, first, last, any_ = _runs(owner, place, level)
-    key = np.array(keys, np.int64)
-    for who, a, b in ((o, first, last), (any_, np.full(len(any_), -1), np.full(len(any_), -1))):
-        if len(who):
-            yield pa.record_batch([pa.array(x.astype(np.int64)) for x in (key[who, 0], key[who, 1], a, b)], ["t", "u", "first", "last"])
+def _results(keys: list[tuple], marks: list[tuple]):
+    if marks:
+        o, first, last = np.array(sorted(set(marks)), np.int64).T
+        key = np.array(keys, np.int64)
+        yield pa.record_batch([pa.array(np.ascontiguousarray(x)) for x in (key[o, 0], key[o, 1], first, last)], ["t", "u", "first", "last"])
 
 
 def removed(texts: DataFrame, marks: DataFrame, length: int = LENGTH, short: int = SHORT) -> DataFrame:
@@ -445,7 +548,7 @@ def removed(texts: DataFrame, marks: DataFrame, length: int = LENGTH, short: int
     return texts.join(lists, _KEYS, "left").select("t", "u", "copies", "text", "marks").mapInArrow(take, "t long, u long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, repeats boolean, kept binary")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, short: int = SHORT, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, short: int = SHORT, gram: int = GRAM, **options) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, repeats, kept_sha256, kept) for each row of docs(doc_id, text).
 
     Removed is each byte of the UTF-8 text covered by a `length`-byte string that also starts anywhere else in the
@@ -454,7 +557,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, short: int = SHORT, gr
     bytes and nothing kept. Repeated rows are different places, so long ones are removed whole; ids may be null or
     repeat. Other columns are ignored; an empty table gives no rows.
     """
-    texts, marks = IndexFamily(docs.sparkSession, None, length, short, gram, hot).add(docs)
+    texts, marks = IndexFamily(docs.sparkSession, None, length, short, gram, **options).add(docs)
     done = removed(texts, marks, length, short).withColumn("kept_sha256", F.sha2("kept", 256))
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), "text").alias("u"), F.octet_length("text").cast("long").alias("n"), F.when(F.octet_length("text") < short, F.col("text").cast("binary")).alias("brief"))
