@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import slices
+from .common import slices, written
 
-#: Documents of a language that the classifiers are fitted on, about; chosen by a hash of the text.
-FIT_DOCUMENTS = 2_000
+#: Distinct texts of a language in the fitting sample, about; chosen by a hash of the text. One in TRUST_FOLD of them is kept
+#: from the classifiers and says how far each is to be trusted, where a language has at least FEW texts.
+FIT_DOCUMENTS, TRUST_FOLD, FEW = 2_000, 5, 50
 #: Languages that a model may have.
 MOST_LANGUAGES = 1_000
 SPACE_BITS = 15
@@ -129,18 +130,27 @@ class Model:
 def fit(rows: DataFrame, most: int = FIT_DOCUMENTS) -> Model | None:
     """A model from rows(text, lang); rows without text, letters or lang teach nothing. None if nothing is left.
 
-    About `most` documents of each language, by a hash of the text, are used; the n-gram counts of the languages and
-    the hits of each classifier come back as one small table each.
+    About `most` distinct texts of each language, by a hash of the text, are written once as the sample, so that copies
+    count once and every language with a text is taught. The n-gram counts of the languages and the hits of each
+    classifier on texts it was not fitted on come back as one small table each.
     """
-    rows = rows.where("lang is not null and text is not null and text rlike '\\\\p{L}'").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sizes = sorted(tuple(r) for r in rows.groupBy("lang").count().take(MOST_LANGUAGES + 1))
+    rows = rows.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
+    sizes = sorted(tuple(r) for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02)).take(MOST_LANGUAGES + 1))
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not sizes:
         return None
-    languages = [x for x, _ in sizes]
     share = F.create_map(*[F.lit(v) for x, n in sizes for v in (x, min(1.0, most / n))])
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003).coalesce(8)
+    # The hash decides before anything looks at the text.
+    sample = rows.where(F.pmod("h", F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003).where(r"text rlike '\\p{L}'").dropDuplicates(["lang", "h"])
+    sample = written(sample, "language-sample")
+    taught = {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()}
+    if not taught:
+        return None
+    languages = sorted(taught)
+    few = F.col("lang").isin([x for x, n in taught.items() if n < FEW])
+    fold = F.pmod(F.xxhash64(F.lit(1), "h"), F.lit(TRUST_FOLD)) == 0
+    sample, judged = sample.where(few | ~fold), sample.where(few | fold)
     place = {x: k for k, x in enumerate(languages)}
 
     def count(batches):
@@ -168,7 +178,7 @@ def fit(rows: DataFrame, most: int = FIT_DOCUMENTS) -> Model | None:
         yield pa.record_batch([pa.array([right.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], ["right", "seen"])
 
     right, seen = np.zeros(model.code.shape, np.int64), np.zeros(len(languages), np.int64)
-    for r in sample.mapInArrow(hits, "right binary, seen binary").toLocalIterator():
+    for r in judged.mapInArrow(hits, "right binary, seen binary").toLocalIterator():
         right += np.frombuffer(r.right, np.int64).reshape(right.shape)
         seen += np.frombuffer(r.seen, np.int64)
     model.fit_trust(right, seen)
@@ -205,7 +215,12 @@ def held_out(doc_id=None):
 
 
 def predict(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, ambiguous): fitted on the rows that are not held out, predicted for all."""
+    """(doc_id, held_out, lang_pred, score, ambiguous): fitted on the rows that are not held out, predicted for all.
+
+    held_out is crc32(doc_id as text) mod 3 = 1, false for a null id. A null text or one without a letter is `und` with
+    score 0, and so is every text if no row teaches. Repeated rows give equal rows; a very long text is read whole, in
+    pieces; other columns are ignored; an empty table gives no rows.
+    """
     model = fit(docs.where(~held_out()))
     return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
 
