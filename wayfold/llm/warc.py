@@ -10,6 +10,7 @@ import hashlib
 import re
 import uuid
 import zlib
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +23,8 @@ REVISIT_BYTES = 100
 #: Ranges of one file no farther apart are read together, up to READ_BYTES.
 GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
+#: Bytes of a file that one reading task takes, about.
+TASK_BYTES = 32 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, record_type string"
 
@@ -49,14 +52,14 @@ def _record(page_id, url: str, payload: bytes | None, digest: str, refers, date:
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
-    """(header fields, payload) of one uncompressed record."""
+    """(header fields by lower-case name, payload) of one uncompressed record; the payload of an HTTP record is the body."""
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-    block = rest[: int(fields["Content-Length"])]
-    return fields, block.partition(b"\r\n\r\n")[2]
+    fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    block = rest[: int(fields["content-length"])]
+    return fields, block.partition(b"\r\n\r\n")[2] if "application/http" in fields.get("content-type", "") else block
 
 
 def write_warc(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
@@ -72,8 +75,8 @@ def write_warc(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", revisit_byt
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     firsts = rows.where((F.octet_length("html") >= revisit_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"))
     # Only ids and digests are dealt by digest; of the revisits' payloads nothing travels further.
-    later = rows.select("page_id", "digest").join(firsts.hint("merge"), "digest").where("page_id > first").select(F.col("page_id").alias("later"), F.col("digest").alias("known"), "first").distinct()
-    rows = rows.join(later.hint("merge"), F.expr("page_id = later and digest = known"), "left").select(
+    later = rows.select("page_id", "digest").join(firsts, "digest").where("page_id > first").select(F.col("page_id").alias("later"), F.col("digest").alias("known"), "first").distinct()
+    rows = rows.join(later, F.expr("page_id = later and digest = known"), "left").select(
         "page_id", "url", F.when(F.col("first").isNull(), F.col("html")).alias("html"), "digest", "first"
     )
 
@@ -81,7 +84,8 @@ def write_warc(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", revisit_byt
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        path = f"{folder}/pages-{task.partitionId():06d}.warc.gz"
+        # An attempt has a file of its own, which its index rows name: whichever attempt counts, both fit together.
+        path = f"{folder}/pages-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
         out = fs = temp = None
         at = 0
         for batch in batches:
@@ -125,7 +129,8 @@ def coalesce(ranges: list[tuple[int, int]], gap: int = GAP_BYTES, most: int = RE
 def read_warc(index: DataFrame) -> DataFrame:
     """Read the records of the chosen index rows: (page_id, url, record_type, payload, digest, stated_digest, refers_to).
 
-    payload and digest (SHA-256 of the payload read) are null for revisits, which carry none.
+    payload and digest (SHA-256 of the payload read) are null for revisits, which carry none. Records of other writers
+    have no page_id. No rows chosen give no rows.
     """
 
     def run(batches):
@@ -145,25 +150,31 @@ def read_warc(index: DataFrame) -> DataFrame:
                         rows = []
                         for offset, length in spans[first:last]:
                             h, payload = parse_record(zlib.decompress(data[offset - start : offset - start + length], 31))
-                            page, refers, kind = h["X-Page-ID"], h.get("X-Refers-To-Page-ID"), h["WARC-Type"]
-                            full = kind == "response"
-                            rows.append((int(page) if page else None, h["WARC-Target-URI"], kind, payload if full else None, hashlib.sha256(payload).hexdigest() if full else None, h["WARC-Payload-Digest"].removeprefix("sha256:"), int(refers) if refers else None))
+                            page, refers, kind = h.get("x-page-id"), h.get("x-refers-to-page-id"), h["warc-type"]
+                            full = kind != "revisit"
+                            rows.append((int(page) if page else None, h.get("warc-target-uri"), kind, payload if full else None, hashlib.sha256(payload).hexdigest() if full else None, h.get("warc-payload-digest", "").removeprefix("sha256:"), int(refers) if refers else None))
                         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                 a = b
 
     names = ["page_id", "url", "record_type", "payload", "digest", "stated_digest", "refers_to"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.string(), pa.int64()]
-    chosen = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
-    return chosen.mapInArrow(run, "page_id long, url string, record_type string, payload binary, digest string, stated_digest string, refers_to long")
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, ceil(total / TASK_BYTES))
+    # Dealt by the bytes that the rows stand for: a stretch of a file is one task's, and the number of tasks is given.
+    chosen = index.select("file", "offset", "length", F.expr(f"offset div {TASK_BYTES}").alias("stretch")).repartition(tasks, "file", "stretch").sortWithinPartitions("file", "offset")
+    return chosen.drop("stretch").mapInArrow(run, "page_id long, url string, record_type string, payload binary, digest string, stated_digest string, refers_to long")
 
 
 def page_digests(index: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record, revisits resolved through the page they refer to."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record, revisits resolved through the page they refer to.
+
+    A revisit whose page is not among the chosen records keeps its stated digest and has null payload_bytes.
+    """
     read = written(read_warc(index).select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to", "stated_digest"), "warc-read")
     full = read.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     target = full.select(F.col("page_id").alias("refers_to"), "payload_bytes", F.col("payload_digest").alias("stated_digest")).distinct()
     again = read.where("record_type = 'revisit'").select("page_id", "refers_to", "stated_digest")
-    again = again.join(target, ["refers_to", "stated_digest"]).select("page_id", "payload_bytes", F.col("stated_digest").alias("payload_digest"), F.lit("revisit").alias("record_type"), "refers_to")
+    again = again.join(target, ["refers_to", "stated_digest"], "left").select("page_id", "payload_bytes", F.col("stated_digest").alias("payload_digest"), F.lit("revisit").alias("record_type"), "refers_to")
     return full.union(again)
 
 
