@@ -16,8 +16,8 @@ from .common import written
 
 #: Most times that a document may be used.
 REPEATS = 3
-#: Source names and patterns that the driver may hold; both are sets of names, not of documents.
-MOST_PATTERNS = 1_000_000
+#: Membership patterns that the driver may hold and route (the flow's time grows with their square); sets of names, not of documents.
+MOST_PATTERNS = 10_000
 SEED = "mix"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -93,22 +93,23 @@ def min_cost_flow(capacity: list[int], members: list[list[int]], quotas: list[in
     return {(to[a ^ 1], to[a] - p): left[a ^ 1] for a in range(first, last, 2) if left[a ^ 1]}
 
 
-def mix(docs: DataFrame, sources: str = "source", seed: str = SEED, repeats: int = REPEATS, weights=(1, 2, 3)) -> DataFrame:
+def mix(docs: DataFrame, sources: str = "source", seed: str = SEED, repeats: int = REPEATS, weights=(1, 2, 3), keep: tuple[str, ...] = ()) -> DataFrame:
     """docs(doc_id, text, <sources>) with size, source_size, target, taken and repeats for every row.
 
     `sources` is a string column (one source each, null is a source) or an array of them (overlapping sources; null or
     empty is the source null). Sources in code point order, null last, get `weights` in turn. size is the number of
-    words (null text: 0). taken is a whole multiple of size, at most `repeats` times it, chosen by md5(seed|doc_id), so
-    reruns agree; repeated rows and rows of null id are taken together with their like. For overlapping sources
+    words (null text: 0). taken is a whole multiple of size, at most `repeats` times it, chosen in the order of
+    md5(seed|doc_id|text), so reruns agree. Null and repeated ids are told apart by their texts; of rows equal in both it
+    does not matter which are taken, and each is counted on its own. For overlapping sources
     source_size and target are the sums over the document's sources. An empty table gives no rows. The column `pattern`
-    is added; input columns of the added names are replaced.
+    is added, and the columns named in `keep` come along; other columns are ignored.
     """
     many = docs.schema[sources].dataType.typeName() == "array"
     names = F.col(sources) if many else F.array(F.col(sources).cast("string"))
     if many:
         names = F.when(F.coalesce(F.size(names), F.lit(0)) > 0, F.array_sort(F.array_distinct(names))).otherwise(F.array(F.lit(None).cast("string")))
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col("doc_id"), size.alias("size"), names.alias("pattern"), F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("rank"))
+    rows = docs.select(F.col("doc_id"), *[F.col(c) for c in keep], size.alias("size"), names.alias("pattern"), F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("rank"))
     rows = written(rows.withColumn("slot", F.substring("rank", 1, 3)), "mix-sizes")
     slots = rows.groupBy("pattern", "slot").agg(F.sum("size").alias("slot_size"))
     totals = slots.groupBy("pattern").agg(F.sum("slot_size").alias("pattern_size")).take(MOST_PATTERNS + 1)
@@ -133,11 +134,11 @@ def mix(docs: DataFrame, sources: str = "source", seed: str = SEED, repeats: int
     slots = slots.withColumn("before", F.coalesce(F.sum("slot_size").over(Window.partitionBy("pattern").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     slots = slots.withColumn("key", key).join(F.broadcast(plan.withColumn("key", key).drop("pattern")) if len(totals) < 10_000 else plan.withColumn("key", key).drop("pattern"), "key")
     # A slot holds about 1/4096 of a pattern, so even a third of all rows is dealt out; order within a slot is by rank.
-    upto = F.sum("size").over(Window.partitionBy("key", "slot").orderBy("rank"))
-    rows = rows.withColumn("key", key).join(slots.drop("pattern").hint("merge"), ["key", "slot"])
+    upto = F.sum("size").over(Window.partitionBy("key", "slot").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("key", key).join(slots.drop("pattern"), ["key", "slot"])
     used = F.col("passes") + F.when(2 * (F.col("before") + upto) - F.col("size") <= 2 * F.col("rest"), 1).otherwise(0)
     rows = rows.withColumn("repeats", F.least(used, F.lit(repeats)).cast("long"))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("repeats") * F.col("size")).alias("taken"), "repeats", "pattern")
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("repeats") * F.col("size")).alias("taken"), "repeats", "pattern", *keep)
 
 
 def op6_source_mix(spark, sf_dir: str) -> DataFrame:
@@ -148,14 +149,14 @@ def op6_source_mix(spark, sf_dir: str) -> DataFrame:
 SQL = """
 WITH d AS (
   SELECT doc_id, source, len(list_filter(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
-    md5('mix|' || coalesce(doc_id::VARCHAR, '')) AS rank FROM documents),
+    md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS rank FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
 o AS (SELECT *, coalesce(sum(3 * n) OVER a, 0) AS used, (sum(w) OVER ()) - coalesce(sum(w) OVER a, 0) AS wl, sum(n) OVER () AS total
   FROM s WINDOW a AS (ORDER BY 3 * n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 c AS (SELECT *, (total - used) * w > 3 * n * wl AS over FROM o),
 l AS (SELECT total - coalesce(sum(3 * n) FILTER (over), 0) AS rem, sum(w) FILTER (NOT over) AS wt FROM c GROUP BY total),
 t AS (SELECT source, n, CASE WHEN over THEN (3 * n)::DOUBLE ELSE (rem * w)::DOUBLE / wt::DOUBLE END AS target FROM c, l),
-f AS (SELECT d.*, t.n, t.target, round_even(t.target, 0)::BIGINT AS q, sum(size) OVER (PARTITION BY d.source ORDER BY rank)::BIGINT AS upto
+f AS (SELECT d.*, t.n, t.target, round_even(t.target, 0)::BIGINT AS q, sum(size) OVER (PARTITION BY d.source ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS upto
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, n AS source_size, target,
   CASE WHEN n = 0 THEN 0 ELSE size * least(3, q // n + CASE WHEN 2 * upto - size <= 2 * (q % n) THEN 1 ELSE 0 END) END::BIGINT AS taken
