@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-KEY = "wayfold"
+#: The session setting that names the secret key. op7_pseudonyms falls back to a public key, which protects nothing, where
+#: it is unset, so that the query runs anywhere; the operator has no default.
+KEY_SETTING, PUBLIC_KEY = "wayfold.pseudonyms.key", "public"
 #: Days of the dates that are permuted: 1900-01-01 and the next 73,048, to 2099-12-31.
 DAYS, DAY_BASE, DAY_RADIX = 73_049, "1900-01-01", (271, 270)
 
@@ -41,10 +43,12 @@ def feistel(values: Column, sizes: Column, key: str, kind: str) -> Column:
     def step(v: Column, r: Column) -> Column:
         left = r % 2 == 0
         other = F.when(left, F.slice(v, half + 1, F.size(v))).otherwise(F.slice(v, F.lit(1), half))
-        digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), F.array_join(other.cast("array<string>"), ",")), 256)
+        # A digest gives 12 addends of 5 hexadecimal digits; longer values take more digests.
+        sha = lambda b: F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), b.cast("string"), F.array_join(other.cast("array<string>"), ",")), 256), 1, 60)
+        digest = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / 12).cast("int")), sha), "")
 
         def one(d: Column):
-            add = lambda i: F.conv(F.substring(d, i * 5 % 60 + 1, F.lit(5)), 16, 10).cast("int")
+            add = lambda i: F.conv(F.substring(d, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
             return F.transform(v, lambda x, i: F.when((i < half) == left, (x + add(i)) % F.get(radix, i)).otherwise(x).cast("int"))
 
         return _let(digest, one)
@@ -177,14 +181,16 @@ def _replace(m: Column, key: str) -> Column:
     return F.struct(kind.alias("kind"), value.otherwise(m).alias("value"))
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """docs with `text` rewritten and the counts n_email, n_ip, n_date, n_ssn, n_phone, n_card, n_replaced added.
 
     Admitted: card numbers of 13 to 19 digits with a right Luhn digit (it is computed anew), North American phone
     numbers, social security numbers, IPv4 addresses, dates from 1900 to 2099, and the local parts of e-mail addresses.
     Numbers that fail their check stay. A null text stays null with counts 0; repeated rows give equal rows; all other
-    columns stay, but those of the added names are replaced.
+    columns stay, but those of the added names are replaced. An empty key is an error; an empty table gives no rows.
     """
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
     text = F.col("text").cast("string")
     rows = docs.drop("_hits", *[f"n_{k}" for k in (*KINDS, "replaced")])
     hits = F.when(text.rlike("[0-9@]"), F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: _replace(m, key)))
@@ -199,6 +205,6 @@ def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def op7_pseudonyms(spark, sf_dir: str) -> DataFrame:
-    """All of documents: doc_id, the rewritten text and the counts."""
+    """All of documents: doc_id, the rewritten text and the counts; the key is that of KEY_SETTING."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudonymize(docs)
+    return pseudonymize(docs, spark.conf.get(KEY_SETTING, PUBLIC_KEY))
