@@ -11,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 1: the word counts, 0: it is ignored. MASKS are those of the SQL statement; they miss some passages within the rule.
-MASKS = ("11101001011", "110110010011")
-#: Every placement of 3 differing words in 13 leaves room for one of these (found by greedy search over weight 5).
+#: 1: the word counts, 0: it is ignored. Every placement of 3 differing words in 13 leaves room for one of these (found by
+#: greedy search over weight 5).
 SEEDS = ("111011", "1100001011", "101010011")
 WINDOW = 13
 MATCHES = 10
+#: Items of fewer than WINDOW words must occur whole; those of fewer than this take no part.
+BRIEF = 8
 #: Benchmark seeds (16 bytes each) up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_SEEDS = 250_000
 
@@ -37,59 +38,54 @@ def _seeds(hashes: Column, masks) -> Column:
     return F.concat(*[of(k, mask) for k, mask in enumerate(masks)])
 
 
+def text_key() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, masks=SEEDS, window: int = WINDOW, matches: int = MATCHES) -> DataFrame:
-    """(doc_id, item_id, best): pairs whose aligned words match in `matches` of `window`, with the best count in a window.
+    """(doc_id, t, item_id, best): pairs whose aligned words match in `matches` of `window`, with the best count in a window.
 
-    Null ids, null or empty texts and items of fewer than `window` words take no part; rows that repeat an id give one
-    row per pair. Other columns are ignored. Pairs are whole if the masks fit every `window - matches` differing words.
+    t is the hash of the text, so that rows that share an id but not the text are told apart; repeated rows give one row
+    per pair. An item of fewer than `window` words must occur whole; items of fewer than BRIEF words, null ids and null or
+    empty texts take no part. Other columns are ignored; an empty table gives no pairs. Pairs are whole, as the masks fit
+    every `window - matches` differing words.
     """
-    d = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))
-    b = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("v")).where(F.size("v") >= window)
+    d = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("t"), F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))
+    b = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("v")).where(F.size("v") >= BRIEF)
     bench_seeds = b.select("item_id", F.inline(_seeds(F.col("v"), masks))).select("item_id", "seed", F.col("pos").alias("at"))
     few = bench_seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
-    doc_seeds = d.select("doc_id", F.inline(_seeds(F.col("w"), masks)))
-    hits = doc_seeds.join(F.broadcast(bench_seeds) if few else bench_seeds, "seed").select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift")).distinct()
+    doc_seeds = d.select("doc_id", "t", F.inline(_seeds(F.col("w"), masks)))
+    hits = doc_seeds.join(F.broadcast(bench_seeds) if few else bench_seeds, "seed").select("doc_id", "t", "item_id", (F.col("pos") - F.col("at")).alias("shift")).distinct()
     # Only documents with a hit are compared; each diagonal is one row.
-    paired = d.join(hits.hint("merge"), "doc_id").join(b, "item_id")
+    paired = d.join(hits, ["doc_id", "t"]).join(b, "item_id")
     same = F.transform(F.sequence(F.lit(0), F.size("v") - 1), lambda i: F.when((i + F.col("shift") >= 0) & (F.get("w", F.greatest(i + F.col("shift"), F.lit(0))) == F.get("v", i)), 1).otherwise(0))
-    best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("v") - window + 1), lambda s: F.aggregate(F.slice("same", s, window), F.lit(0), lambda a, x: a + x)))
-    paired = paired.withColumn("same", same).select("doc_id", "item_id", best.alias("best"))
-    return paired.where(F.col("best") >= matches).groupBy("doc_id", "item_id").agg(F.max("best").cast("long").alias("best"))
+    best = F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.size("v") - window + 1, F.lit(1))), lambda s: F.aggregate(F.slice("same", s, window), F.lit(0), lambda a, x: a + x)))
+    need = F.when(F.size("v") < window, F.size("v")).otherwise(matches)
+    paired = paired.withColumn("same", same).select("doc_id", "t", "item_id", best.alias("best"), need.alias("need"))
+    return paired.where("best >= need").groupBy("doc_id", "t", "item_id").agg(F.max("best").cast("long").alias("best"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that no benchmark item contaminates, with all their columns. Rows of null id or text stay."""
-    bad = contaminated_pairs(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"] == bad["doc_id"], "left_anti")
+    """The rows of docs that no benchmark item contaminates, with all their columns; repeated rows alike. Rows of null id or text stay."""
+    bad = contaminated_pairs(docs, benchmark, **options).select("doc_id", "t").distinct()
+    return docs.join(bad, (docs["doc_id"] == bad["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == bad["t"]), "left_anti")
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
     """All of documents against all of benchmark: doc_id, contaminated, n_items, first_item, best."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     pairs = contaminated_pairs(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    found = pairs.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.min("item_id").alias("first_item"), F.max("best").alias("best"))
-    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), "first_item", "best")
-
-
-def _sql_seed(mask: str, words: str) -> str:
-    return " || ' ' || ".join(f"{words}[i + {j}]" for j, c in enumerate(mask) if c == "1")
-
-
-def _sql_seeds(table: str, key: str, words: str) -> str:
-    one = [f"SELECT {key}, {k} AS mask, i, {_sql_seed(m, words)} AS seed FROM (SELECT {key}, {words}, unnest(range(1, len({words}) - {len(m) - 2})) AS i FROM {table})" for k, m in enumerate(MASKS)]
-    return " UNION ALL ".join(one)
+    found = pairs.groupBy("doc_id", "t").agg(F.count("*").alias("n_items"), F.min("item_id").alias("first_item"), F.max("best").alias("best"))
+    return docs.select("doc_id", text_key().alias("t")).join(found, ["doc_id", "t"], "left").select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), "first_item", "best")
 
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+#: Without seeds: every diagonal on which a document and an item have words in common.
 SQL = f"""
-WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-b AS (SELECT item_id, {_WORDS} AS v FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL AND len({_WORDS}) >= {WINDOW}),
-ds AS ({_sql_seeds("d", "doc_id", "w")}),
-bs AS ({_sql_seeds("b", "item_id", "v")}),
-h AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS shift FROM ds JOIN bs USING (mask, seed)),
-e AS (SELECT doc_id, item_id, shift, len(v) AS n, list_transform(range(1, len(v) + 1), lambda i: CASE WHEN i + shift >= 1 AND w[i + shift] = v[i] THEN 1 ELSE 0 END) AS same
-  FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
-p AS (SELECT doc_id, item_id, max(list_max(list_transform(range(1, n - {WINDOW} + 2), lambda s: list_sum(same[s:s + {WINDOW} - 1])))) AS best FROM e GROUP BY 1, 2),
-f AS (SELECT doc_id, count(*) AS n_items, min(item_id) AS first_item, max(best)::BIGINT AS best FROM p WHERE best >= {MATCHES} GROUP BY 1)
+WITH d AS (SELECT doc_id, unnest({_WORDS}) AS w, generate_subscripts({_WORDS}, 1) AS i FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+b AS (SELECT item_id, len({_WORDS}) AS n, unnest({_WORDS}) AS w, generate_subscripts({_WORDS}, 1) AS j FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+e AS (SELECT doc_id, item_id, n, i - j AS shift, list(j) AS js FROM d JOIN b USING (w) WHERE n >= {BRIEF} GROUP BY 1, 2, 3, 4 HAVING count(*) >= least(n, {MATCHES})),
+p AS (SELECT doc_id, item_id, n, max(list_max(list_transform(range(1, greatest(n - {WINDOW} + 1, 1) + 1), lambda s: len(list_filter(js, lambda j: j >= s AND j < s + {WINDOW}))))) AS best FROM e GROUP BY 1, 2, 3),
+f AS (SELECT doc_id, count(*) AS n_items, min(item_id) AS first_item, max(best)::BIGINT AS best FROM p WHERE best >= CASE WHEN n < {WINDOW} THEN n ELSE {MATCHES} END GROUP BY 1)
 SELECT d.doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, first_item, best FROM documents d LEFT JOIN f ON d.doc_id = f.doc_id
 """
