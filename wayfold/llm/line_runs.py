@@ -63,9 +63,9 @@ def remove_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, long_words
         runs = zipped.select("k", "t", "i", F.inline(F.array(*of))).where("name is not null")
     # Aggregation before the shuffle; a very frequent run leaves one row per task.
     first = runs.groupBy("name").agg(F.min(F.struct("k", "t", "i")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    later = runs.join(first.hint("merge"), "name").where(F.struct("k", "t", "i") > F.col("first")).select("k", "t", "i", "n").distinct()
+    later = runs.join(first, "name").where(F.struct("k", "t", "i") > F.col("first")).select("k", "t", "i", "n").distinct()
     later = later.groupBy("k", "t").agg(F.array_sort(F.collect_list(F.struct("i", "n"))).alias("starts"))
-    both = base.join(later.hint("merge"), ["k", "t"], "left").withColumn("starts", F.coalesce("starts", F.array().cast("array<struct<i: int, n: int>>")))
+    both = base.join(later, ["k", "t"], "left").withColumn("starts", F.coalesce("starts", F.array().cast("array<struct<i: int, n: int>>")))
     gone = F.array_distinct(F.flatten(F.transform("starts", lambda x: F.sequence(x["i"], x["i"] + x["n"] - 1))))
     lead = F.filter("gone", lambda i: ~F.array_contains("gone", i - 1))
     both = both.withColumn("gone", gone).withColumn("lines", F.split("text", "\n", -1))
