@@ -18,10 +18,14 @@ from wayfold.llm.wavelet import token_output
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language (null text or no letter) go, a filter by letters only: score and ambiguity reject nothing."""
+    """Documents in no language (null text or no letter) go; of the others `lang` becomes the language predicted.
+
+    The model learns from the rows that are not held out. If no row teaches, every text is in no language and goes.
+    Repeated rows and null ids are treated like any other; an empty table stays empty.
+    """
     names = docs.columns
     model = fit(docs.where(~held_out()))
-    return identify(docs, model).where(F.col("lang_pred") != UNKNOWN).select(*names)
+    return identify(docs, model).where(F.col("lang_pred") != UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,27 +40,33 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         found = link_components(known)
         keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
     else:
-        known = known.join(repeated.hint("merge"), F.col("doc_id") == F.col("_id"), "left").withColumn("_key", F.when(F.col("_id").isNull(), F.col("_key")).otherwise(F.xxhash64("doc_id", "text"))).drop("_id")
+        known = known.join(repeated, F.col("doc_id") == F.col("_id"), "left").withColumn("_key", F.when(F.col("_id").isNull(), F.col("_key")).otherwise(F.xxhash64("doc_id", "text"))).drop("_id")
         found = link_components(known.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id").distinct()
-        of = known.select("_key", "doc_id").distinct().join(found.hint("merge"), "_key")
+        of = known.select("_key", "doc_id").distinct().join(found, "_key")
         keep = of.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("x")).select("x._key")
-    return known.join(keep.hint("merge"), "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns).union(docs.where("doc_id is null"))
+    return known.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns).union(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go; rows of null id or text and clean rows that share an id stay."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: 0 to 3 equal rows."""
-    uses = mix(docs).groupBy("doc_id").agg(F.max("repeats").alias("_uses")).where("_uses > 0").withColumnRenamed("doc_id", "_id")
-    rows = docs.join(uses.hint("merge"), docs["doc_id"].eqNullSafe(uses["_id"]))
-    return rows.withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("_uses").cast("int")))).select(*docs.columns)
+    """Every document as often as the mix takes it: 0 to 3 equal rows.
+
+    Rows are told apart by id, source and text; of rows equal in all three (the stages before leave none but of null id)
+    each is used as often as the most used of them. A null source is a source; an empty table stays empty.
+    """
+    key = ["_id", "_t", "_s"]
+    taken = mix(docs.withColumn("_t", F.xxhash64("text")), keep=("_t", "source"))
+    uses = taken.groupBy(F.col("doc_id").alias("_id"), "_t", F.col("source").alias("_s")).agg(F.max("repeats").alias("_uses")).where("_uses > 0")
+    rows = docs.join(uses, docs["doc_id"].eqNullSafe(uses["_id"]) & docs["source"].eqNullSafe(uses["_s"]) & (F.xxhash64(docs["text"]) == uses["_t"]))
+    return rows.withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("_uses").cast("int")))).drop(*key).select(*docs.columns)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in wavelet-matrix shards; what they hold per document."""
+    """Token ids in wavelet-matrix shards; what they hold per document, repeated rows as often as they occur."""
     return token_output(docs)
 
 
