@@ -35,6 +35,8 @@ BLOCK_SHINGLES = 1_000_000
 EXTRA = 8
 #: Partial tables that one task adds up.
 FAN_IN = 64
+#: Block pairs and documents (some 40 bytes each) up to which they are broadcast to the texts.
+BROADCAST_UNITS = 500_000
 #: Factor of DivideSkip's number of long lists: L = T / (mu log2(longest) + 1).
 MU = 0.02
 
@@ -274,23 +276,30 @@ def link_components(docs: DataFrame, percent: int = 75, width: int = 5, block: i
         .groupBy("leader", "doc_id")
         .agg(F.count("*").alias("shared"))
     )
-    reps = classes.select(F.col("rep").alias("doc_id"), "d1", F.col("n_shingles").alias("n"))
+    reps = classes.select(F.col("rep").alias("doc_id"), F.col("d1"), F.col("n_shingles").alias("n"))
     members = (
         led.join(reps, "doc_id")
         .withColumn("shared", F.sum("shared").over(Window.partitionBy("doc_id")))
         .where(f"shared >= (({percent} * n + 99) div 100) div {EXTRA} + 1")
-        .withColumn("members", F.count("*").over(Window.partitionBy("leader")))
-        .where("members > 1")
         .select("leader", "doc_id", "n", "d1")
     )
     members = written(members, "members")
-    members = members.withColumn("block", F.expr(f"coalesce(sum(n) over (partition by leader order by n, doc_id rows between unbounded preceding and 1 preceding), 0) div {block}")).withColumn(
-        "blocks", F.max("block").over(Window.partitionBy("leader"))
+    # Blocks follow set size: a size's share of the running sum is dealt to its documents by hash, so no task orders a group.
+    by_size = members.groupBy("leader", "n").agg(F.count("*").alias("c"))
+    sizes = Window.partitionBy("leader")
+    running = F.coalesce(F.sum(F.col("c") * F.col("n")).over(sizes.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by_size = by_size.select("leader", "n", "c", running.alias("before"), F.sum("c").over(sizes).alias("members"), F.sum(F.col("c") * F.col("n")).over(sizes).alias("total"))
+    members = members.join(by_size.where("members > 1"), ["leader", "n"]).select(
+        "leader", "doc_id", "d1", F.expr(f"(before + pmod(xxhash64(doc_id), c) * n) div {block}").alias("block"), F.expr(f"(total - 1) div {block}").alias("blocks")
     )
     units = members.select("doc_id", "d1", "leader", "block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int"))).alias("other"))
     units = units.groupBy("doc_id", "d1").agg(
         F.collect_list(F.struct("leader", F.least("block", F.col("other").cast("long")).alias("i"), F.greatest("block", F.col("other").cast("long")).alias("j"), "block")).alias("units")
     )
+    units = written(units, "units")
+    # Where few documents have a partner to be compared with, they are sent to the texts; else the texts are shuffled to them.
+    if units.agg(F.coalesce(F.sum(F.size("units") + 1), F.lit(0))).first()[0] <= BROADCAST_UNITS:
+        units = F.broadcast(units)
 
     def expand(batches):
         for batch in batches:
