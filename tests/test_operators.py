@@ -1,30 +1,43 @@
+import hashlib
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.operators import census, core, exact
+from wayfold.operators import census, core, exact, passes
 from wayfold.sources import publish, tables
 
-RAW = "map_version string, target_link_id string, sample_id string, seg_idx long, seg_mark long, bin_idx long, sub_idx long, t_ref double, T_cum double, T_diff double, ratio double, observed boolean"
-T0 = 1786928880.0
+RAW = "map string, link string, sample string, segment long, mark long, place long, part long, reference double, since double, spent double, share double, gps boolean"
+DAY = 1_700_000_040.0
+NAN = float("nan")
 
 
-def raw(spark, *rows):
-    return spark.createDataFrame([("m", "L", "s#L#1#0", 0, mark, b, s, T0, c, d, r, True) for mark, b, s, c, d, r in rows], RAW)
+def raw(spark, *rows, reference=DAY):
+    return spark.createDataFrame([("m", "L", "s1", 1, mark, place, part, reference, since, spent, share, None) for mark, place, part, since, spent, share in rows], RAW)
 
 
-def test_untimed_first_piece_does_not_hide_the_pass(spark):
-    o = core.observations(raw(spark, (1, 10, 0, float("nan"), float("nan"), 1.0), (1, 11, 0, 25.0, 5.0, 0.4), (0, 12, 0, 30.0, 1.0, 1.0))).collect()
-    assert len(o) == 1
-    assert o[0].valid == [False, True] and o[0].ratio_pct == [10, 4] and o[0].bin_pos == [0, 1]
-    assert o[0].dt == (T0 + 20) % 600 and math.isnan(o[0].T_diff[0])
+def test_a_part_without_time_does_not_hide_the_pass(spark):
+    found = passes.observations(raw(spark, (1, 60, 1, None, NAN, 0.3), (1, 60, 0, 47.5, 2.5, 0.7), (1, 109, 0, NAN, 3.0, 1.0), (0, 61, 0, 1.0, 1.0, 1.0))).collect()
+    assert len(found) == 1
+    r = found[0]
+    assert (r.bin, r.tenths, r.timed, r.gps) == ([0, 0, 49], [7, 3, 10], [True, False, True], [False] * 3)
+    assert r.window == 1_700_000_000 // 600 * 600 and r.offset == DAY + 45 - r.window and r.spent[0] == 2.5 and math.isnan(r.spent[1])
+    assert r.day == "20231114" and 0 <= r.bucket < 128
+    assert passes.observations(raw(spark, (1, 60, 0, None, 2.0, 1.0))).count() == 0
+    assert sorted((x.bin, x.tenths) for x in passes.explode_parts(passes.observations(raw(spark, (1, 60, 0, 9.0, 1.0, 0.4), (1, 63, 0, 9.0, 1.0, 1.0)))).collect()) == [(0, 4), (3, 10)]
 
 
-@pytest.mark.parametrize("bad", [(1, 266, 0, 5.0, 1.0, 1.0), (1, 10, 0, 5.0, -1.0, 1.0), (1, 10, 0, 5.0, 1.0, 0.0)])
+@pytest.mark.parametrize("bad", [(1, 59, 0, 5.0, 1.0, 1.0), (1, 110, 0, 5.0, 1.0, 1.0), (1, 60, 0, 5.0, -1.0, 1.0), (1, 60, 0, 5.0, 1.0, 0.0), (1, 60, 0, float("inf"), 1.0, 1.0), (1, 60, 0, 5.0, 1.0, None)])
 def test_contract_breach_is_an_error(spark, bad):
-    with pytest.raises(Exception, match="bin outside|not a finite|ratio outside"):
-        core.observations(raw(spark, bad)).collect()
+    with pytest.raises(Exception, match="bin outside|negative or not finite|share outside|since the reference"):
+        passes.observations(raw(spark, bad)).collect()
+
+
+@pytest.mark.parametrize("reference", [NAN, float("inf"), None])
+def test_a_reference_time_must_be_finite(spark, reference):
+    with pytest.raises(Exception, match="reference time is not finite"):
+        passes.observations(raw(spark, (1, 60, 0, 5.0, 1.0, 1.0), reference=reference)).collect()
 
 
 def obs(spark, sizes):
@@ -34,17 +47,52 @@ def obs(spark, sizes):
 
 @pytest.mark.parametrize("make", [core.members, exact.exact_members])
 def test_groups_of_64_and_dropped_tails(spark, make):
-    m = make(obs(spark, {10: 130, 20: 65, 30: 67, 40: 2}), 64)
+    m = make(exact.located(obs(spark, {10: 130, 20: 65, 30: 67, 40: 2})), 64)
     sizes = sorted((r.window, r.group_index, r["count"]) for r in m.groupBy("window", "group_index").count().collect())
     assert sizes == [(10, 0, 64), (10, 1, 64), (20, 0, 64), (30, 0, 64), (30, 1, 3)]
 
 
 @pytest.mark.parametrize("hide", [core.hide, exact.exact_hide])
 def test_half_of_each_group_is_hidden(spark, hide):
-    m = exact.exact_members(obs(spark, {1: 3, 2: 5, 3: 64}), 64)
+    m = exact.exact_members(exact.located(obs(spark, {1: 3, 2: 5, 3: 64})), 64)
     assert {r.window: r.h for r in hide(m).groupBy("window").agg(F.count_if("hidden").alias("h")).collect()} == {1: 1, 2: 2, 3: 32}
 
 
+def seed_of(*parts):
+    return int.from_bytes(hashlib.blake2b("\x1f".join(map(str, parts)).encode(), digest_size=8).digest(), "little")
+
+
+def test_exact_groups_and_masks_follow_the_seeds(spark):
+    rows = [("20240101", 5, -9, "L", 1, f"s{k:03d}", 1, k % 7 != 3, 10) for k in range(90)]
+    d = spark.createDataFrame(rows, "day string, bucket int, cell_id long, link string, window long, sample_id string, n_valid long, usable boolean, covered_m long")
+    got = exact.exact_hide(exact.exact_members(d, 16, seed=3), epoch=2).collect()
+    usable = sorted(r[5] for r in rows if r[7])
+    order = [usable[k] for k in np.random.default_rng(seed_of(3, "20240101", 5, -9, "members")).permutation(len(usable))]
+    want = {}
+    for g in range(0, len(order), 16):
+        some = order[g : g + 16]
+        if len(some) >= 3:
+            name = f"groups-v1-m16/20240101/5/-9/{g // 16}"
+            hidden = np.random.default_rng(seed_of(name, 2)).choice(np.arange(len(some)), size=len(some) // 2, replace=False)
+            want |= {s: (name, k, k in hidden) for k, s in enumerate(some)}
+    assert {r.sample_id: (r.group_id, r.member, r.hidden) for r in got} == want
+    picked = exact.exact_selection(exact.exact_members(d, 16, seed=3), most=3, seed=3, epoch=2).collect()
+    n = len({x[0] for x in want.values()})
+    by = np.random.default_rng(seed_of(3, 2, "20240101", 5, "groups")).permutation(n).tolist()
+    chosen = np.random.default_rng(seed_of(3, 2, "20240101", 5, "select")).permutation(n)[:3].tolist()
+    assert [r.group_index for r in sorted(picked, key=lambda r: r.position)] == [g for g in by if g in chosen]
+
+
+def test_ratio_interval_resamples_clusters_and_cells(spark):
+    d = spark.createDataFrame([(s, c, 1, (k + c) % 4, 4) for s in range(2) for c in range(5) for k in range(6)], "s int, c int, w int, n int, d int")
+    r = exact.ratio_interval(d, "s", "c", "n", "d", "w", times=300)
+    flat = exact.ratio_interval(d.withColumn("n", F.lit(1)), "s", "c", "n", "d", "w", times=50)
+    assert r["low"] < r["ratio"] < r["high"] and flat == {"ratio": 0.25, "low": 0.25, "high": 0.25}
+    assert exact.ratio_interval(d.withColumn("n", F.lit(0)), "s", "c", "n", "d", "w")["low"] is None
+    with pytest.raises(ValueError):
+        exact.ratio_interval(d, "s", "c", "n", "d", "w", most=10)
+
+
 def test_visible_mean_and_fallback(spark):
     bins = spark.createDataFrame([("L", 0, "a", 0, 4, 1, True), ("L", 0, "b", 0, 8, 1, True), ("L", 0, "b", 1, 3, 1, True), ("L", 0, "c", 5, 9, 1, True)], "link string, window long, sample_id string, bin int, time_sum long, ratio_sum long, bin_valid boolean")
     m = spark.createDataFrame([("L", 0, 0, s, 3, 3, h, 1, 1) for s, h in (("a", False), ("b", True), ("c", False))], "link string, window long, group_index long, sample_id string, group_size long, k long, hidden boolean, n_valid long, covered_m long")
@@ -82,6 +130,50 @@ def test_publish_never_overwrites_and_sees_changes(spark, tmp_path):
 
     with pytest.raises(RuntimeError):
         publish.publish(spark, str(tmp_path / "other"), [src], change)
+    with pytest.raises(ValueError, match="come back equal"):
+        publish.publish(spark, str(tmp_path / "random"), [src], lambda: spark.range(9).select(F.rand().alias("x")))
+    (tmp_path / "busy.lock").write_text("")
+    with pytest.raises(FileExistsError, match="being published"):
+        publish.publish(spark, str(tmp_path / "busy"), [src], lambda: spark.range(1))
+    manifest = publish.publish(spark, str(tmp_path / "last"), [src], lambda: spark.range(4))
+    assert manifest["rows"] == 4 and publish.verify_copy(spark, str(tmp_path / "last"), manifest)
+    spark.range(1).write.mode("append").parquet(str(tmp_path / "last"))
+    assert not publish.verify_copy(spark, str(tmp_path / "last"), manifest)
+    assert not [p for p in tmp_path.iterdir() if ".attempt-" in p.name or p.name in ("other", "random", "last.lock")]
+
+
+def test_history_drops_only_an_unfinished_last_line(spark, tmp_path):
+    path = tmp_path / "h.jsonl"
+    path.write_text('{"epoch": 1}\n{"epoch": 2}\n{"epo')
+    assert sorted(r.epoch for r in tables.json_history(spark, str(path), "epoch int").collect()) == [1, 2]
+    path.write_text('{"epoch": 1}\n{"epoch": 2}')
+    assert tables.json_history(spark, str(path), "epoch int").count() == 2
+    path.write_text('{"epoch": 1}\n{"ep\n{"epoch": 2}\n')
+    with pytest.raises(Exception, match="MALFORMED|Malformed|malformed"):
+        tables.json_history(spark, str(path), "epoch int").collect()
+
+
+def test_a_cell_is_read_from_its_partition_and_days_from_paths(spark, tmp_path):
+    root = str(tmp_path / "r")
+    d = spark.createDataFrame([("20240101", 0, 5, 1), ("20240102", 1, 6, 2), ("20240102", 1, 6, 3)], "day string, bucket int, cell_id long, x int")
+    d.write.partitionBy("day", "bucket").parquet(root)
+    place = d.select("cell_id", "day", "bucket").distinct()
+    assert sorted(r.x for r in tables.partition_of(spark, root, place, 6).collect()) == [2, 3]
+    with pytest.raises(KeyError):
+        tables.partition_of(spark, root, place, 7)
+    assert sorted((r.x, r.file_day) for r in tables.with_file_day(spark, root).collect()) == [(1, "20240101"), (2, "20240102"), (3, "20240102")]
+
+
+def test_scans_days_and_documents(spark, tmp_path):
+    src = str(tmp_path / "t")
+    spark.range(20).selectExpr("id", "id * 2 AS y", "'20240101' AS day").write.parquet(src)
+    assert tables.scan(spark, src + "," + src, "y", where="id > 15").count() == 8
+    publish.write_days(spark.read.parquet(src), str(tmp_path / "d"), 2)
+    assert spark.read.parquet(str(tmp_path / "d")).count() == 20 and (tmp_path / "d" / "day=20240101").is_dir()
+    publish.write_document(spark, {"a": [float("nan"), 1.0]}, str(tmp_path / "doc"))
+    assert spark.read.text(str(tmp_path / "doc")).first()[0] == '{"a": [null, 1.0]}'
+    a = spark.range(3)
+    assert publish.same_rows(a, a.orderBy(F.desc("id"))) and not publish.same_rows(a, a.union(a.limit(1)))
 
 
 def test_cache_follows_inputs(spark, tmp_path):

@@ -11,6 +11,11 @@ def test_query_equals_sql(spark, duck, name):
     assert rows_of(got) == rows_of(want)
 
 
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
+def test_query_without_sql_runs(spark, name):
+    assert QUERIES[name](spark, SMALL).count() > 0
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as e
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timing import bucket, cell_key, checked, finite, known, local_day, safe_ratio, seeded, window_start
+from ..functions.timing import safe_ratio, seeded
 
 CELL = ["link", "window"]
 BINS = 50
@@ -19,56 +19,6 @@ def total(x) -> Column:
     return F.coalesce(F.sum(x), F.lit(0)).cast("long")
 
 
-def observations(raw: DataFrame, buckets: int = 128) -> DataFrame:
-    """Raw sub-pieces to one row per (map, link, sample, segment), its pieces ordered by bin and sub-piece.
-
-    Only marked pieces count. The entry time is the reference time plus the least known piece start, so an untimed first
-    piece does not hide the pass. A piece is valid if its T_diff is known. Contract: bin 0..49, ratio 1 to 10 tenths,
-    a valid T_diff finite and not negative, finite times; a breach is an error. Rows without any timed piece are dropped.
-    """
-    key = ["map_version", "target_link_id", "sample_id", "seg_idx"]
-    pos = F.col("bin_idx") - 50 * F.col("seg_idx") - 10
-    tenths = F.round(F.col("ratio") * 10)
-    valid = known(F.col("T_diff"))
-    start = F.when(known(F.col("T_cum")) & valid, checked(F.col("T_cum") - F.col("T_diff"), finite(F.col("T_cum")) & finite(F.col("T_diff")), "time is not finite"))
-    piece = F.struct(
-        checked(pos, pos.between(0, BINS - 1), "bin outside 0..49").cast("byte").alias("b"),
-        F.col("sub_idx").alias("s"),
-        F.when(valid, checked(F.col("T_diff"), finite(F.col("T_diff")) & (F.col("T_diff") >= 0), "T_diff is not a finite time")).otherwise(F.lit(float("nan"))).cast("float").alias("T"),
-        checked(tenths, tenths.between(1, 10), "ratio outside 1..10 tenths").cast("byte").alias("R"),
-        F.coalesce("observed", F.lit(False)).alias("O"),
-        valid.alias("V"),
-    )
-    rows = raw.where("seg_mark = 1").groupBy(*key).agg(F.array_sort(F.collect_list(piece)).alias("p"), F.min(start).alias("first"), F.max("t_ref").alias("t_ref"))
-    rows = rows.where("first is not null").withColumn("entry", F.col("t_ref") + F.col("first"))
-    rows = rows.withColumn("window", window_start(F.col("entry"))).withColumn("cell_id", cell_key(F.col("map_version"), F.col("target_link_id"), F.col("seg_idx"), F.col("window")))
-    return rows.select(
-        local_day(F.col("window")).alias("day"),
-        bucket(F.col("cell_id"), buckets).alias("bucket"),
-        "cell_id",
-        "sample_id",
-        (F.col("entry") - F.col("window")).cast("float").alias("dt"),
-        F.col("p.T").alias("T_diff"),
-        F.col("p.R").alias("ratio_pct"),
-        F.col("p.O").alias("observed"),
-        F.col("p.V").alias("valid"),
-        F.col("p.b").alias("bin_pos"),
-        F.size("p").alias("n_pieces"),
-        "map_version",
-        "target_link_id",
-        "seg_idx",
-        "window",
-    )
-
-
-def explode_pieces(obs: DataFrame) -> DataFrame:
-    """Aligned arrays of observations back to one row per piece; arrays of unequal length are an error."""
-    same = (F.size("T_diff") == F.size("ratio_pct")) & (F.size("T_diff") == F.size("valid")) & (F.size("T_diff") == F.size("bin_pos"))
-    z = checked(F.arrays_zip("bin_pos", "T_diff", "ratio_pct", "valid"), same, "arrays are not aligned")
-    rest = [c for c in obs.columns if c not in ("T_diff", "ratio_pct", "valid", "bin_pos", "observed")]
-    return obs.select(*rest, F.explode(z).alias("z")).select(*rest, F.col("z.bin_pos").alias("bin"), F.col("z.T_diff").alias("t"), F.col("z.ratio_pct").alias("ratio"), F.col("z.valid").alias("valid"))
-
-
 def fold_bins(pieces: DataFrame, keys=(*CELL, "sample_id")) -> DataFrame:
     """One row per bin that has a piece. The time counts only if every piece of the bin is valid, else it is 0."""
     return pieces.groupBy(*keys, "bin").agg(

@@ -571,9 +571,9 @@ def array_columns(spark, sf):
 
 @query()
 def exact_groups(spark, sf):
-    from ..operators.exact import exact_hide, exact_members
+    from ..operators.exact import exact_hide, exact_members, located
 
-    return exact_hide(exact_members(base.compact(spark, sf), base.M)).select(*GROUP, "member", "sample_id", "group_size", "k", "hidden")
+    return exact_hide(exact_members(located(base.compact(spark, sf)), base.M)).select(*GROUP, "group_id", "member", "sample_id", "group_size", "k", "hidden")
 
 
 @query()
@@ -591,3 +591,6 @@ def source_inventory(spark, sf):
     from ..sources.tables import inventory
 
     return inventory(spark, f"{sf}/lineitem.parquet")
+
+
+from . import more as _more  # noqa: E402, F401 - it registers further queries here

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.census import symmetric_difference
-from .tables import inventory
+from .tables import listed
 
 
 def write_days(df: DataFrame, path: str, files: int, mode: str = "errorifexists") -> None:
@@ -52,7 +53,7 @@ def _fs(spark: SparkSession, path: str):
 
 def fingerprint(spark: SparkSession, *inputs: str, text: str = "") -> str:
     """Digest of the query text and of path, size and time of every input file."""
-    rows = sorted(tuple(map(str, r)) for p in inputs for r in inventory(spark, p).toLocalIterator())
+    rows = sorted(tuple(map(str, r)) for p in inputs for r in listed(spark, p))
     return hashlib.sha256(json.dumps([text, rows]).encode()).hexdigest()
 
 
@@ -68,30 +69,58 @@ def cached(spark: SparkSession, path: str, inputs: list[str], text: str, build)
     return spark.read.parquet(path)
 
 
-def publish(spark: SparkSession, path: str, inputs: list[str], build, parts: DataFrame | None = None) -> None:
-    """Build in a staging path, check, rename once; never overwrites.
+def content(df: DataFrame) -> tuple:
+    """Rows and the sum of their hashes: equal for tables of equal rows in any order, in one pass without a shuffle of rows."""
+    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first())
 
-    Refuses an output that exists or lies in an input, inputs that change meanwhile, rows that do not come back equal,
-    and, if `parts` lists the expected day and bucket pairs, a set of partitions that is not exactly that.
+
+def publish(spark: SparkSession, path: str, inputs: list[str], build, parts: DataFrame | None = None) -> dict:
+    """Build in a folder of this attempt, check, rename once; never overwrites. Returns the manifest, written beside `path`.
+
+    Refuses an output that exists, is being published by another (path.lock) or lies in an input, inputs that change
+    meanwhile, rows that do not come back equal (also those of a build that does not repeat), and, if `parts` lists the
+    expected day and bucket pairs, a set of partitions that is not exactly that. A failed attempt leaves no output.
     """
     fs, target = _fs(spark, path)
     if any(path.rstrip("/").startswith(i.rstrip("/") + "/") or i.rstrip("/") == path.rstrip("/") for i in inputs):
         raise ValueError("the output lies in an input")
-    if fs.exists(target):
-        raise FileExistsError(path)
-    before = fingerprint(spark, *inputs)
-    staging = f"{path}.staging"
-    made = build()
-    made.write.mode("overwrite").parquet(staging)
-    back = spark.read.parquet(staging)
-    if parts is not None:
-        found = back.select("day", "bucket").distinct()
-        if found.exceptAll(parts).limit(1).count() or parts.exceptAll(found).limit(1).count():
-            raise ValueError("partitions are missing or unexpected")
-    if fingerprint(spark, *inputs) != before:
-        raise RuntimeError("an input changed during the build")
-    if not fs.rename(_fs(spark, staging)[1], target):
-        raise FileExistsError(path)
+    lock = _fs(spark, f"{path}.lock")[1]
+    try:
+        fs.create(lock, False).close()
+    except Exception as e:
+        raise FileExistsError(f"{path} is being published: {path}.lock exists") from e
+    staging = f"{path}.attempt-{uuid.uuid4().hex}"
+    try:
+        if fs.exists(target):
+            raise FileExistsError(path)
+        before = fingerprint(spark, *inputs)
+        made = build()
+        made.write.parquet(staging)
+        back = spark.read.schema(made.schema).parquet(staging)
+        rows = content(back)
+        if content(build()) != rows:
+            raise ValueError("the rows do not come back equal")
+        if parts is not None:
+            found = back.select("day", "bucket").distinct()
+            if found.exceptAll(parts).limit(1).count() or parts.exceptAll(found).limit(1).count():
+                raise ValueError("partitions are missing or unexpected")
+        if fingerprint(spark, *inputs) != before:
+            raise RuntimeError("an input changed during the build")
+        files = [[r.path.rpartition("/")[2], r.bytes, r.sha256] for r in file_digests(spark, staging).where("path like '%.parquet'").orderBy("path").toLocalIterator()]
+        manifest = {"inputs": before, "rows": rows[0], "hash": str(rows[1]), "files": files}
+        if not fs.rename(_fs(spark, staging)[1], target):
+            raise FileExistsError(path)
+        write_document(spark, manifest, f"{path}.manifest")
+        return manifest
+    finally:
+        fs.delete(_fs(spark, staging)[1], True)
+        fs.delete(lock, False)
+
+
+def verify_copy(spark: SparkSession, path: str, manifest: dict) -> bool:
+    """Whether a copy of a published table holds the very files of its manifest, and so its rows."""
+    found = [[r.path.rpartition("/")[2], r.bytes, r.sha256] for r in file_digests(spark, path).where("path like '%.parquet'").orderBy("path").toLocalIterator()]
+    return sorted(found) == sorted(manifest["files"])
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,15 +26,31 @@ def scan(spark: SparkSession, paths: str, *columns: str, where: Column | str | N
 
 def day_buckets(spark: SparkSession, roots: list[str], days: list[str] | None = None) -> DataFrame:
     """Partitioned roots (day=/bucket=) as one table; the same partition under two roots is an error."""
-    parts = [spark.read.option("basePath", r).parquet(r).withColumn("root", F.lit(r)) for r in roots]
+    held: dict[str, str] = {}
+    for r in roots:
+        for uri, _, _ in listed(spark, r):
+            if m := re.search(r"day=([^/]+)/bucket=([^/]+)/", uri):
+                if held.setdefault(m[0], r) != r:
+                    raise ValueError(f"{m[0].strip('/')} is under more than one root")
+    parts = [spark.read.option("basePath", r).parquet(r) for r in roots]
     df = parts[0]
     for p in parts[1:]:
         df = df.unionByName(p)
-    df = df.where(F.col("day").cast("string").isin(days)) if days else df
-    twice = df.groupBy("day", "bucket").agg(F.countDistinct("root").alias("n")).where("n > 1").limit(1).collect()
-    if twice:
-        raise ValueError(f"day={twice[0].day} bucket={twice[0].bucket} is under more than one root")
-    return df.drop("root")
+    return df.where(F.col("day").cast("string").isin(days)) if days else df
+
+
+def partition_of(spark: SparkSession, root: str, place: DataFrame, cell_id: int) -> DataFrame:
+    """The rows of one cell, read from its partition only: place(cell_id, day, bucket) says which that is."""
+    found = place.where(F.col("cell_id") == cell_id).select("day", "bucket").distinct().take(2)
+    if len(found) != 1:
+        raise KeyError(f"cell {cell_id} is in {len(found)} partitions")
+    return spark.read.option("basePath", root).parquet(f"{root}/day={found[0].day}/bucket={found[0].bucket}").where(F.col("cell_id") == cell_id)
+
+
+def with_file_day(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet files whose day is in their path only, as the column file_day (null where no path part names a day)."""
+    day = F.regexp_extract("_metadata.file_path", r"day=([0-9]{8})", 1)
+    return spark.read.option("recursiveFileLookup", True).parquet(path).withColumn("file_day", F.nullif(day, F.lit("")))
 
 
 def typed_csv(spark: SparkSession, path: str, schema: str, required: list[str]) -> DataFrame:
@@ -44,15 +62,34 @@ def typed_csv(spark: SparkSession, path: str, schema: str, required: list[str])
 
 
 def json_history(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines; a last line that is not complete is left out."""
-    rows = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema(schema + ", _bad string").json(path)
-    return rows.where("_bad is null").drop("_bad")
+    """JSON lines; a last line without its line feed that is not whole is left out, any other malformed line is an error."""
+    whole = spark.read.option("wholetext", True).text(path)
+    lines = F.split("value", "\n")
+    parsed = lambda line: F.from_json(line, schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    cut = F.get(lines, F.size(lines) - 1)
+    unfinished = (F.trim(cut) == "") | parsed(cut)["_bad"].isNotNull()
+    rows = whole.select(F.explode(F.when(unfinished, F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)).alias("line")).where(F.trim("line") != "")
+    rows = rows.select("line", parsed(F.col("line")).alias("row"))
+    good = F.when(F.col("row._bad").isNull(), F.col("row")).otherwise(F.raise_error(F.concat(F.lit("a malformed line: "), F.col("line"))))
+    return rows.select(good.alias("row")).select("row.*").drop("_bad")
+
+
+def listed(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(uri, bytes, modification time in milliseconds) of the data files under a path, from one listing."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    files, out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True), []
+    while files.hasNext():
+        f = files.next()
+        if not f.getPath().getName().startswith(("_", ".")):
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(out)
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(uri, bytes, mtime) of every file behind a Parquet path; compared before and after a build."""
-    m = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
-    return m.distinct().select(F.col("file_path").alias("uri"), F.col("file_size").alias("bytes"), F.col("file_modification_time").alias("mtime"))
+    """(uri, bytes, mtime) of every data file under a path; compared before and after a build."""
+    rows = spark.createDataFrame(listed(spark, path), "uri string, bytes long, ms long")
+    return rows.select("uri", "bytes", F.timestamp_millis("ms").alias("mtime"))
 
 
 def corpus(spark: SparkSession, root: str) -> DataFrame:
