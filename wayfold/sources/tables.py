@@ -63,7 +63,7 @@ def typed_csv(spark: SparkSession, path: str, schema: str, required: list[str])
 
 def json_history(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; a last line without its line feed that is not whole is left out, any other malformed line is an error."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = F.split("value", "\n")
     parsed = lambda line: F.from_json(line, schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
     cut = F.get(lines, F.size(lines) - 1)
