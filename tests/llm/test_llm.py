@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter
@@ -593,10 +594,12 @@ def brute_runs(rows, depth):
     return out
 
 
-@pytest.mark.parametrize("depth", [1, 2, 3, 5])
+@pytest.mark.parametrize("depth", [1, 2, 3, 5, 20])
 def test_line_runs_against_brute_force(spark, depth):
     rng = random.Random(depth)
     rows = [(k, "\n".join(rng.choice(["a", "b", "c", "", " "]) for _ in range(rng.randint(0, 14)))) for k in range(80)] + [(80, None), (81, "")]
+    long = [rng.choice("abcdefgh") for _ in range(60)]
+    rows += [(90 + k, "\n".join(["x" * k, *long[k : 60 - k], "y" * k])) for k in range(9)]
     got = {r.doc_id: tuple(r)[1:] for r in line_runs.remove_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string"), depth).collect()}
     assert got == brute_runs(rows, depth)
 
@@ -609,6 +612,17 @@ def test_line_run_edges(spark):
     assert line_runs.remove_repeated_runs(d.limit(0)).count() == 0
 
 
+def test_texts_of_very_many_lines_take_time_in_proportion(spark):
+    took = []
+    for n in (10_000, 100_000):
+        d = spark.createDataFrame([(k, "\n".join(f"line {j}" for j in range(n))) for k in range(2)], "doc_id long, text string")
+        start = time.monotonic()
+        got = sorted((r.doc_id, r.n_lines, r.n_removed, r.n_runs) for r in line_runs.remove_repeated_runs(d).collect())
+        took.append(time.monotonic() - start)
+        assert got == [(0, n, 0, 0), (1, n, n, 1)]
+    assert took[1] < 10 * took[0] + 20
+
+
 def test_later_copies_of_long_lines_go(spark):
     long, short = " ".join(WORDS[:51]), " ".join(WORDS[:50])
     rows = [(1, long), (2, f"a\n{long}\nb"), (3, short), (4, f"c\n{short}"), (5, f"{long}\n\n{long}"), (6, f"a\n{long}")]

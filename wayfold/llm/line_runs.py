@@ -29,14 +29,22 @@ def _names(ids: Column, depth: int) -> Column:
     return names
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _doubled(names: Column, step: int) -> Column:
-    starts = F.when(F.size(names) > step, F.sequence(F.lit(0), F.size(names) - 1 - step)).otherwise(F.array().cast("array<int>"))
+    def pairs(v: Column) -> Column:
+        starts = F.when(F.size(v) > step, F.sequence(F.lit(0), F.size(v) - 1 - step)).otherwise(F.array().cast("array<int>"))
+
+        def pair(i: Column) -> Column:
+            x, y = F.get(v, i), F.get(v, i + step)
+            return F.struct(F.xxhash64(F.lit(1), x["a"], y["a"]).alias("a"), F.xxhash64(F.lit(2), x["b"], y["b"]).alias("b"))
 
-    def pair(i: Column) -> Column:
-        x, y = F.get(names, i), F.get(names, i + step)
-        return F.struct(F.xxhash64(F.lit(1), x["a"], y["a"]).alias("a"), F.xxhash64(F.lit(2), x["b"], y["b"]).alias("b"))
+        return F.transform(starts, pair)
 
-    return F.transform(starts, pair)
+    return _let(names, pairs)
 
 
 def remove_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
@@ -66,15 +74,15 @@ def remove_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, long_words
     later = runs.join(first, "name").where(F.struct("k", "t", "i") > F.col("first")).select("k", "t", "i", "n").distinct()
     later = later.groupBy("k", "t").agg(F.array_sort(F.collect_list(F.struct("i", "n"))).alias("starts"))
     both = base.join(later, ["k", "t"], "left").withColumn("starts", F.coalesce("starts", F.array().cast("array<struct<i: int, n: int>>")))
-    gone = F.array_distinct(F.flatten(F.transform("starts", lambda x: F.sequence(x["i"], x["i"] + x["n"] - 1))))
-    lead = F.filter("gone", lambda i: ~F.array_contains("gone", i - 1))
-    both = both.withColumn("gone", gone).withColumn("lines", F.split("text", "\n", -1))
-    both = both.withColumn("n_lines", F.coalesce(F.size(F.filter("lines", lambda x: F.trim(x) != "")), F.lit(0)).cast("long"))
-    keep = F.expr("""aggregate(lines, struct(0 as n, cast(array() as array<string>) as kept),
-        (s, x) -> if(trim(x) = '', struct(s.n as n, concat(s.kept, array(x)) as kept),
-                     struct(s.n + 1 as n, if(array_contains(gone, s.n), s.kept, concat(s.kept, array(x))) as kept))).kept""")
-    text = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(keep, "\n"))
-    return both.select("doc_id", text.alias("text"), "n_lines", F.size("gone").cast("long").alias("n_removed"), F.size(lead).cast("long").alias("n_runs"))
+    both = both.withColumn("lines", F.split("text", "\n", -1))
+    # Set operations on positions, all linear in the lines of a text.
+    places = F.sequence(F.lit(0), F.size("lines") - 1)
+    both = both.withColumn("full", F.coalesce(F.filter(places, lambda p: F.trim(F.get("lines", p)) != ""), F.array().cast("array<int>")))
+    both = both.withColumn("gone", F.array_distinct(F.flatten(F.transform("starts", lambda x: F.sequence(x["i"], x["i"] + x["n"] - 1)))))
+    lead = F.array_except("gone", F.transform("gone", lambda i: i + 1))
+    stay = F.array_except(places, F.transform("gone", lambda i: F.get("full", i)))
+    text = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda p: F.get("lines", p)), "\n"))
+    return both.select("doc_id", text.alias("text"), F.size("full").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.size(lead).cast("long").alias("n_runs"))
 
 
 def op10_line_runs(spark, sf_dir: str) -> DataFrame:
