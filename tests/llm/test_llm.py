@@ -446,7 +446,10 @@ def test_seeds_hit_every_placement_of_differing_words():
     assert all(any(not set(p) & set(gone) for p in picks) for gone in itertools.combinations(range(n), k))
 
 
-def test_decontamination_against_all_diagonals(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination_against_all_diagonals(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
     rng = random.Random(88)
     items = [prose(rng.choice([13, 14, 15, 20, 31]), rng).split() for _ in range(40)]
     docs = []
@@ -454,7 +457,7 @@ def test_decontamination_against_all_diagonals(spark):
         v = items[k % 40]
         a = rng.randint(0, len(v) - 10) if k % 3 else 0
         part = [f"other{i}" if rng.random() < 0.2 else w for i, w in enumerate(v[a:])]
-        docs.append((prose(rng.randint(0, 5), rng).split() + part + prose(rng.randint(0, 5), rng).split()))
+        docs.append((prose(rng.randint(0, 70), rng).split() + part + prose(rng.randint(0, 5), rng).split()))
     want = set()
     for d, w in enumerate(docs):
         for b, v in enumerate(items):

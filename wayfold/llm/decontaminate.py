@@ -1,7 +1,7 @@
 """Operator 8: benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
 
 Each mask selects some of up to WINDOW consecutive words and ignores the others, so a hit survives substituted words at
-ignored places. Seeds of documents are joined to seeds of benchmark items; on the diagonal of every hit the words are
+ignored places. Seeds of documents are joined to seeds of benchmark items; about every hit the aligned words are
 compared, and a document is contaminated by an item if WINDOW aligned words hold at least MATCHES equal ones. The masks
 of SEEDS are lossless for that rule: wherever WINDOW - MATCHES words of WINDOW differ, one of the masks fits between.
 """
@@ -18,7 +18,9 @@ WINDOW = 13
 MATCHES = 10
 #: Items of fewer than WINDOW words must occur whole; those of fewer than this take no part.
 BRIEF = 8
-#: Benchmark seeds (16 bytes each) up to which they are broadcast; more are joined by a shuffle.
+#: Words of a piece of a text; seeds start in it, and window - 1 words more on either side let a hit be verified.
+PIECE = 32
+#: Benchmark seeds (16 bytes each) up to which they and the items are broadcast; more are joined by a shuffle.
 BROADCAST_SEEDS = 250_000
 
 
@@ -27,17 +29,26 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
-def _seeds(hashes: Column, masks) -> Column:
-    """array<struct<seed, pos>> of all masks over an array of word hashes."""
+def _seeds(hashes: Column, masks, first: Column | None = None, most: int | None = None) -> Column:
+    """array<struct<seed, pos>> of all masks over an array of word hashes; pos from `first` on, at most `most` of them."""
+    first = F.lit(0) if first is None else first
 
     def of(k: int, mask: str) -> Column:
         span, picks = len(mask), [j for j, c in enumerate(mask) if c == "1"]
-        starts = F.when(F.size(hashes) >= span, F.sequence(F.lit(0), F.size(hashes) - span)).otherwise(F.array().cast("array<int>"))
+        last = F.size(hashes) - span if most is None else F.least(F.size(hashes) - span, first + (most - 1))
+        starts = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.struct(F.xxhash64(F.lit(k), *[F.get(hashes, i + j) for j in picks]).alias("seed"), i.alias("pos")))
 
     return F.concat(*[of(k, mask) for k, mask in enumerate(masks)])
 
 
+def _pieces(w: Column, window: int) -> Column:
+    """The words in pieces of PIECE, each with the window - 1 words before and after it."""
+    lead = window - 1
+    numbers = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.floor((F.size(w) - 1) / PIECE).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(numbers, lambda c: F.slice(w, F.greatest(c * PIECE - lead, F.lit(0)) + 1, F.least(c * PIECE, F.lit(lead)) + PIECE + lead))
+
+
 def text_key() -> Column:
     return F.xxhash64(F.col("text").cast("string"))
 
@@ -51,17 +62,24 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, masks=SEEDS, windo
     every `window - matches` differing words.
     """
     d = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("t"), F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))
+    pieces = d.select("doc_id", "t", F.posexplode(_pieces(F.col("w"), window)).alias("c", "w"))
     b = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("v")).where(F.size("v") >= BRIEF)
     bench_seeds = b.select("item_id", F.inline(_seeds(F.col("v"), masks))).select("item_id", "seed", F.col("pos").alias("at"))
-    few = bench_seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
-    doc_seeds = d.select("doc_id", "t", F.inline(_seeds(F.col("w"), masks)))
-    hits = doc_seeds.join(F.broadcast(bench_seeds) if few else bench_seeds, "seed").select("doc_id", "t", "item_id", (F.col("pos") - F.col("at")).alias("shift")).distinct()
-    # Only documents with a hit are compared; each diagonal is one row.
-    paired = d.join(hits, ["doc_id", "t"]).join(b, "item_id")
-    same = F.transform(F.sequence(F.lit(0), F.size("v") - 1), lambda i: F.when((i + F.col("shift") >= 0) & (F.get("w", F.greatest(i + F.col("shift"), F.lit(0))) == F.get("v", i)), 1).otherwise(0))
-    best = F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.size("v") - window + 1, F.lit(1))), lambda s: F.aggregate(F.slice("same", s, window), F.lit(0), lambda a, x: a + x)))
+    found = _seeds(F.col("w"), masks, F.least(F.col("c") * PIECE, F.lit(window - 1)), PIECE)
+    if bench_seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
+        # A hit is verified where it is found: no text is shuffled. The items have fewer words than seeds.
+        paired = pieces.select("doc_id", "t", "w", F.inline(found)).join(F.broadcast(bench_seeds), "seed").join(F.broadcast(b), "item_id")
+    else:
+        hits = pieces.select("doc_id", "t", "c", F.inline(found)).join(bench_seeds, "seed").drop("seed").distinct()
+        paired = hits.join(pieces.distinct(), ["doc_id", "t", "c"]).join(b, "item_id")
+    # Any window that holds `matches` equal words holds a hit, so only the windows about each hit are counted.
+    low = F.greatest(F.col("at") - (window - 1), F.lit(0))
+    high = F.greatest(F.least(F.col("at"), F.size("v") - window), F.lit(0))
+    same = F.transform(F.sequence(low, F.least(F.col("at") + (window - 1), F.size("v") - 1)), lambda i: F.when(F.get("w", i - F.col("at") + F.col("pos")) == F.get("v", i), 1).otherwise(0))
+    best = F.array_max(F.transform(F.sequence(F.lit(1), F.col("high") - F.col("low") + 1), lambda s: F.aggregate(F.slice("same", s, window), F.lit(0), lambda a, x: a + x)))
     need = F.when(F.size("v") < window, F.size("v")).otherwise(matches)
-    paired = paired.withColumn("same", same).select("doc_id", "t", "item_id", best.alias("best"), need.alias("need"))
+    paired = paired.select("doc_id", "t", "item_id", need.alias("need"), low.alias("low"), high.alias("high"), same.alias("same"))
+    paired = paired.select("doc_id", "t", "item_id", "need", best.alias("best"))
     return paired.where("best >= need").groupBy("doc_id", "t", "item_id").agg(F.max("best").cast("long").alias("best"))
 
 
