@@ -13,6 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one kernel call works on at a time (a longer single text is one call).
 CHUNK_BYTES = 2 << 20
+#: What a batch of whole texts on its way to Python holds at most (a longer single text is one batch). Each task keeps
+#: several copies of a batch outside the heap: Arrow vectors in the JVM, the batch and its texts in Python.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session's later queries, where the session does not set its own bounds."""
+    for key, value in BATCH.items():
+        if key not in spark.conf.getAll:
+            spark.conf.set(key, value)
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import slices, written
+from .common import bound_batches, slices, written
 
 #: Distinct texts of a language in the fitting sample, about; chosen by a hash of the text. One in TRUST_FOLD of them is kept
 #: from the classifiers and says how far each is to be trusted, where a language has at least FEW texts.
@@ -134,6 +134,7 @@ def fit(rows: DataFrame, most: int = FIT_DOCUMENTS) -> Model | None:
     count once and every language with a text is taught. The n-gram counts of the languages and the hits of each
     classifier on texts it was not fitted on come back as one small table each.
     """
+    bound_batches(rows.sparkSession)
     rows = rows.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
     sizes = sorted(tuple(r) for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02)).take(MOST_LANGUAGES + 1))
     if len(sizes) > MOST_LANGUAGES:
@@ -190,6 +191,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     A null text or one without a letter is `und` with score 0; so is every text if there is no model.
     """
+    bound_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
     docs = docs.select(*names)
     schema = StructType(list(docs.schema)).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")

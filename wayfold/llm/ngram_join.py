@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_view, new_folder, open_fs, publish, shingle_sets, slices, text_column, written
+from .common import bound_batches, byte_view, new_folder, open_fs, publish, shingle_sets, slices, text_column, written
 from .components import components
 
 #: Counters of the shingle order: a fixed 16 MB table whatever the input.
@@ -263,6 +263,7 @@ def link_components(docs: DataFrame, percent: int = 75, width: int = 5, block: i
     stands for one document in the links. Other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = written(signatures(docs, width), "signatures")
     classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_view, new_folder, open_fs, publish, slices, written
+from .common import bound_batches, byte_view, new_folder, open_fs, publish, slices, written
 
 MAGIC = b"WVMATRX1"
 #: Ids of one shard; a document is never cut, so a longer one is a shard of its own.
@@ -336,6 +336,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_to
     that many of them are dealt out as well. Every document ends with end_id. A task that runs again writes the same files.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     folder = new_folder(spark, "tokens")
     n = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
